@@ -33,29 +33,25 @@ def mix_seed(seed: int) -> int:
     return (seed * 2654435761 + 97) % TWO_32
 
 
-def with_mix_uniform(df: DataFrame, name: str, seed: int, *keys: Any) -> DataFrame:
-    """Add a uniform in [0, 1) from non-negative integer keys.
+def with_mix_uniform(df: DataFrame, name: str, seed: int, *keys: str) -> DataFrame:
+    """Add a uniform in [0, 1) from non-negative integer key columns.
 
     Written in small steps because each uses the previous value twice; the
     optimizer keeps such projections apart, and one generated loop runs them all.
+    The last step goes through a one-element explode: later filters and join keys on
+    the draw must not be pushed down, where they would spell out every step again.
     """
-    carry = [c for c in df.columns]
-    h: Column = F.lit(mix_seed(seed)).cast("long")
+    kept = [f"`{c}`" for c in df.columns]
+    h = f"{mix_seed(seed)}L"
     for i, key in enumerate(keys):
-        k = as_col(key).cast("long")
-        folded = k.bitwiseXOR(F.shiftright(k, 32)).bitwiseAND(F.lit(MASK_32))
-        df = df.withColumn("_mix", h.bitwiseXOR(folded))
+        k = f"CAST({key} AS BIGINT)"
+        df = df.selectExpr(*kept, f"{h} ^ (({k} ^ shiftright({k}, 32)) & {MASK_32}L) AS _mix")
         for shift, add in ((16, 0), (15, i + 1)):
-            x = F.col("_mix")
-            df = df.withColumn(
-                "_mix",
-                (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(MIX_MULTIPLIER) + F.lit(add))
-                .bitwiseAND(F.lit(MASK_32)),
+            df = df.selectExpr(
+                *kept, f"((_mix ^ shiftright(_mix, {shift})) * {MIX_MULTIPLIER}L + {add}L) & {MASK_32}L AS _mix"
             )
-        h = F.col("_mix")
-    x = F.col("_mix")
-    u = x.bitwiseXOR(F.shiftright(x, 16)) / F.lit(float(TWO_32))
-    return df.select(*carry, u.alias(name))
+        h = "_mix"
+    return df.selectExpr(*kept, f"explode(array((_mix ^ shiftright(_mix, 16)) / {TWO_32}D)) AS {name}")
 
 
 # P(count <= k) of a Poisson(1) count; beyond k = 12 less than one draw in 2**32 remains.

@@ -40,6 +40,7 @@ def _earlier(
     return parts.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
+        *[F.sum(s).over(group).alias(f"_tot_{s}") for s in sums],
         *[F.min(m).over(group).alias(m) for m in minima],
     )
 
@@ -51,32 +52,39 @@ def ordered_index(
     bucket: Column,
     name: str,
     group_min: Mapping[str, Column] = {},
+    group_size: str | None = None,
 ) -> DataFrame:
     """1-based position of each row in its group under ``order``.
 
     ``bucket`` must not decrease along ``order``; it bounds what one task sorts.
-    ``group_min`` adds minima over the whole group on the way.
+    ``group_min`` and ``group_size`` add minima and the row count of the whole group
+    on the way.
     """
     d = df.withColumn("_bucket", bucket)
     parts = d.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_n"), *[F.min(e).alias(n) for n, e in group_min.items()]
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    size = [F.col("_tot__n").alias(group_size)] if group_size else []
     return (
         d.withColumn("_inside", inside)
         .join(_earlier(parts, keys, ["_n"], list(group_min)), [*keys, "_bucket"])
-        .select(*df.columns, (F.col("_inside") + F.col("_before__n")).cast("long").alias(name), *group_min)
+        .select(
+            *df.columns, (F.col("_inside") + F.col("_before__n")).cast("long").alias(name), *group_min, *size
+        )
     )
 
 
-def hash_index(df: DataFrame, keys: Sequence[str], row_id: str, name: str) -> DataFrame:
+def hash_index(
+    df: DataFrame, keys: Sequence[str], row_id: str, name: str, group_size: str | None = None
+) -> DataFrame:
     """Dense 1-based row index per group in md5 order of the row id.
 
     The first hex digits of the hash are evenly filled, order-preserving buckets,
     so no group, however large, is ever sorted by one task.
     """
     d = df.withColumn("_md5", F.md5(F.col(row_id).cast("string")))
-    d = ordered_index(d, keys, ["_md5", row_id], F.substring("_md5", 1, 3), name)
+    d = ordered_index(d, keys, ["_md5", row_id], F.substring("_md5", 1, 3), name, group_size=group_size)
     return d.drop("_md5")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.hashing import hash_uniform, poisson_one, with_mix_uniform
 from panelwise.operators.grouping import hash_index
+from panelwise.session import cut_lineage
 
 MAX_EXACT_DRAWS = 1_000_000_000
 
@@ -30,10 +31,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def indexed_rows(df: DataFrame, by: Sequence[str], row_id: str) -> DataFrame:
-    """Add a dense index 1..n per run, and n. Bootstrap draws point at these indexes."""
-    d = hash_index(df, by, row_id, "idx")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
-    return d.join(sizes, list(by))
+    """Add a dense index 1..n per run, and n. Draws point at these indexes, so the table
+    is read on both sides of a join; it is written once.
+    """
+    return cut_lineage(hash_index(df, by, row_id, "idx", "n_rows"))
 
 
 def exact_draws(indexed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:

@@ -110,32 +110,23 @@ def calibration_slope(scores: DataFrame, by: Sequence[str], steps: int = NEWTON_
 
     Each Newton step is one aggregate of five weighted sums per group and a 2x2 solve.
     """
-    z = F.log(_clamped() / (1 - _clamped()))
-    d = scores.select(*by, z.alias("z"), "n1", (F.col("n1") + F.col("n0")).alias("w"))
+    p = f"least(greatest(p, {SMALLEST_P}D), 1D - {SMALLEST_P}D)"
+    d = scores.selectExpr(*by, f"ln({p} / (1 - {p})) AS z", "n1", "n1 + n0 AS w")
     params = None
     for _ in range(steps):
-        if params is None:
-            s = d.select("*", F.lit(0.0).alias("intercept"), F.lit(1.0).alias("slope"))
-        else:
-            s = d.join(params, list(by))
-        mu = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("z"))))
-        s = s.withColumn("mu", mu)
-        v = F.col("w") * F.col("mu") * (1 - F.col("mu"))
-        r = F.col("n1") - F.col("w") * F.col("mu")
-        s = s.withColumns({"v": v, "r": r})
-        t = s.groupBy(*by).agg(
-            F.first("intercept").alias("a"), F.first("slope").alias("b"),
-            F.sum("v").alias("s0"), F.sum(F.col("v") * F.col("z")).alias("s1"),
-            F.sum(F.col("v") * F.col("z") * F.col("z")).alias("s2"),
-            F.sum("r").alias("g0"), F.sum(F.col("r") * F.col("z")).alias("g1"),
-        )
-        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-        params = t.select(
+        start = d.selectExpr("*", "0D AS a", "1D AS b") if params is None else d.join(params, list(by))
+        risk = start.selectExpr(*by, "z", "n1", "w", "a", "b", "1 / (1 + exp(-(a + b * z))) AS mu")
+        parts = risk.selectExpr(*by, "z", "a", "b", "w * mu * (1 - mu) AS v", "n1 - w * mu AS r")
+        sums = parts.groupBy(*by).agg(*map(F.expr, (
+            "first(a) AS a", "first(b) AS b", "sum(v) AS s0", "sum(v * z) AS s1", "sum(v * z * z) AS s2",
+            "sum(r) AS g0", "sum(r * z) AS g1",
+        )))
+        params = sums.selectExpr(
             *by,
-            (F.col("a") + F.try_divide(F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1"), det)).alias("intercept"),
-            (F.col("b") + F.try_divide(F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0"), det)).alias("slope"),
+            "a + try_divide(s2 * g0 - s1 * g1, s0 * s2 - s1 * s1) AS a",
+            "b + try_divide(s0 * g1 - s1 * g0, s0 * s2 - s1 * s1) AS b",
         )
-    return params
+    return params.selectExpr(*by, "a AS intercept", "b AS slope")
 
 
 def all_metrics(scores: DataFrame, by: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:
