@@ -24,8 +24,7 @@ def smote(
     fraction of the way, categories from either end.
     """
     keep = [row_id, label, *numeric, *categorical]
-    df = df.select(*keep)
-    df = df.withColumns({c: F.col(c).cast("double") for c in numeric})
+    df = cut_lineage(df.select(*keep).withColumns({c: F.col(c).cast("double") for c in numeric}))
     rare, common = df.where(F.col(label) == minority), df.where(F.col(label) != minority)
     near = nearest_neighbours(rare, row_id, numeric, categorical, k)
     have = near.groupBy(row_id).agg(F.max("rank").alias("_have"))

@@ -14,6 +14,8 @@ MAX_LEVELS = 1_000
 
 def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[Any]]:
     """Sorted distinct levels per column. Few by nature; more than MAX_LEVELS is an error."""
+    if not columns:
+        return {}
     counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     wide = [c for c in columns if counts[c] > MAX_LEVELS]
     if wide:

@@ -15,19 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.operators.tuning import PENALTIES, Scorer, best_candidate, cross_validate, with_folds
-from panelwise.session import cut_lineage
 
 PLATT_FOLDS = 5
 SVM_STEPS, SVM_TOLERANCE = 100, 1e-3
-ROWS_PER_PARTITION = 50_000
-
-
-def fit_table(df: DataFrame) -> DataFrame:
-    """Write a design table once, in partitions of useful size: fits pass over it many times,
-    and each pass costs a task per partition.
-    """
-    df = cut_lineage(df)
-    return cut_lineage(df.repartition(max(1, -(-df.count() // ROWS_PER_PARTITION))))
 
 
 def _risk(model) -> Scorer:

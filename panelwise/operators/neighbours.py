@@ -93,6 +93,7 @@ def nearest_neighbours(
     df: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5
 ) -> DataFrame:
     """(row, rank, neighbour, distance squared) for the k nearest other rows of every row."""
+    df = cut_lineage(df.select(row_id, *numeric, *categorical))
     spans = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first() if numeric else {}
     num = [F.col(c).cast("double") / F.lit(spans[c]) if spans[c] else F.lit(0.0) for c in numeric]
     cat = [F.col(c).cast("double") for c in categorical]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.expr import as_col
 from panelwise.operators.grouping import running_sums
+from panelwise.session import cut_lineage
 
 
 def stack_columns(df: DataFrame, columns: Sequence[str], key: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -57,15 +58,18 @@ QUARTERS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Min, quartiles (interpolated), mean, max and NULL count per column.
 
-    Exact at any size: values are counted before they are ranked, ranks come from
-    running counts over value buckets, and only the ranks next to a quartile are kept.
+    Exact at any size: the table is read once to count values, and the counts are kept;
+    ranks come from running counts over value buckets, and only the ranks next to a
+    quartile are picked.
     """
     long = stack_columns(df, columns, "column_name", "v")
-    basics = long.groupBy("column_name").agg(
-        F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"),
-        F.count_if(F.col("v").isNull()).alias("nulls"),
+    counts = cut_lineage(long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    basics = counts.groupBy("column_name").agg(
+        F.min("v").alias("min"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"),
+        F.max("v").alias("max"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
     )
-    counts = long.where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col("v").isNotNull())
     ranked = running_sums(counts, ["column_name"], "v", ["n"])
     last, first = F.col("cum_n") - 1, F.col("cum_n") - F.col("n")
     picks = []

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.functions.expr import as_col, round_even
+from panelwise.functions.expr import round_even
 from panelwise.operators.grouping import attach_group, bucket_of, keep_groups, value_cuts
 
 KEY = ("source", "participant_id")
@@ -70,6 +70,15 @@ def baseline_window(df: DataFrame, low: float, high: float, keys: Sequence[str]
     return keep_groups(df, keys, F.min(round_even("time_diagnosis", 2)).between(low, high))
 
 
+def study_window(
+    df: DataFrame, elapsed: tuple[float, float], first_visit: tuple[float, float], keys: Sequence[str] = KEY
+) -> DataFrame:
+    """Both windows at once, from one aggregate per participant."""
+    t1, t2 = round_even("time_diagnosis", 1), round_even("time_diagnosis", 2)
+    ok = (F.max(t1) - F.min(t1)).between(*elapsed) & F.min(t2).between(*first_visit)
+    return keep_groups(df, keys, ok)
+
+
 def group_span(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Put a participant's first and last time and the span between on every row."""
     t1, t2 = round_even("time_diagnosis", 1), round_even("time_diagnosis", 2)

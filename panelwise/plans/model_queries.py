@@ -6,49 +6,24 @@ Search sizes are smaller than the defaults of the operators (10 folds, 10 candid
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.operators import attribution, encode, models, network, validate
-from panelwise.operators.balance import smote
-from panelwise.operators.sampling import train_test_split
+from panelwise.operators import attribution, impute, models, network, validate
 from panelwise.operators.tuning import COSTS, PENALTIES, RANDOM_NETWORK, RANDOM_TREES, random_candidates, results_table
 from panelwise.plans.train_queries import CATEGORICAL, NUMERIC
-from panelwise.plans.views import train_table
+from panelwise.plans.views import train_missing, train_table
+from panelwise.plans.workflow import Design, design, score_runs
 from panelwise.session import cut_lineage
 
 TREES = {"nrounds": 10, "max_depth": 3, "eta": 0.3}
 FOLDS = 3
 
 
-@dataclass
-class Data:
-    train: DataFrame
-    test: DataFrame
-    features: list[str]
-
-
-def prepared(spark: SparkSession, d: str, balance: bool = False) -> Data:
-    """Split, optional rebalancing of the training part, one-hot, feature vector."""
-    t = train_table(spark, d).withColumns({c: F.col(c).cast("double") for c in NUMERIC})
-    t = cut_lineage(train_test_split(t, "row_id", (0.7, 0.3), 100))
-    levels = encode.fit_levels(t, CATEGORICAL)
-    features = [*NUMERIC, *encode.one_hot_names(levels)]
-    train, test = t.where("is_train"), t.where("NOT is_train")
-    if balance:
-        train = smote(train, "y", "row_id", NUMERIC, CATEGORICAL, over=4, under=3, k=5, seed=100)
-        # copies and synthetic rows need ids of their own for the folds
-        order = F.concat_ws("-", "kind", "row_id", "copy")
-        train = train.withColumn("row_id", F.abs(F.xxhash64(order)))
-
-    def vectors(df: DataFrame) -> DataFrame:
-        hot = encode.one_hot(df.select("row_id", F.col("y").cast("double").alias("label"), *NUMERIC, *CATEGORICAL), levels)
-        return models.fit_table(encode.assemble(hot, features).select("row_id", "label", "features"))
-
-    return Data(vectors(train), vectors(test), features)
+def prepared(spark: SparkSession, d: str, balance: bool = False) -> Design:
+    return design(train_table(spark, d), "y", "row_id", NUMERIC, CATEGORICAL, balance=balance)
 
 
 def _risks(scored: DataFrame) -> DataFrame:
@@ -141,10 +116,21 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return validate.metric_summary(long, ["model"])
 
 
+def imputed_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: impute twice, then split, balance, fit, score and bootstrap every run."""
+    gaps = train_missing(spark, d)
+    runs = {1: 100, 2: 200}
+    filled = cut_lineage(impute.sample_impute(gaps, "row_id", ["fa", "bmi", "education"], runs))
+    scored = score_runs(
+        filled, list(runs), "y", "row_id", NUMERIC, CATEGORICAL, models.logistic_l1, {"penalty": 0.01}
+    )
+    return validate.validation_report(scored, ["imp"], "row_id", replicates=20, seed=7, method="exact")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lasso_cv, lasso_coefficients, score, mlp_train, random_search_cv, linear_svm, platt_scaling,
-        grid_search_cv, gbt_train, gbt_search_cv, shap_values, shap_summary, model_comparison,
+        grid_search_cv, gbt_train, gbt_search_cv, shap_values, shap_summary, model_comparison, imputed_validation,
     )
 }

@@ -161,14 +161,16 @@ ORACLE = {
         CASE WHEN e.fa >= 40 THEN 1 WHEN e.fa < 40 THEN 0 END AS fa_cat_end
         FROM {one_row('t_min', 1)} b JOIN {one_row('t_max', 8)} e
           ON b.source = e.source AND b.participant_id = e.participant_id""", SPANNED),
-    "baseline_endpoint_rate": clean(f"""SELECT b.source, b.cat AS fa_cat_base, count(*) AS n, round(avg(e.cat), 6) AS rate
+    "baseline_endpoint_rate": clean(f"""SELECT b.source, b.cat AS fa_cat_base, count(*) AS n, round(avg(e.cat), 6) AS rate,
+          count(b.education_carried) AS known_education
         FROM (SELECT *, {FA_CAT} AS cat FROM kept WHERE t2 = t_min
               QUALIFY row_number() OVER (PARTITION BY source, participant_id ORDER BY wave) = 1) b
         JOIN (SELECT *, {FA_CAT} AS cat FROM kept WHERE t2 = t_max
               QUALIFY row_number() OVER (PARTITION BY source, participant_id ORDER BY wave) = 1) e
           ON b.source = e.source AND b.participant_id = e.participant_id
         WHERE b.cat IS NOT NULL AND e.cat IS NOT NULL GROUP BY 1, 2""",
-        SPANNED + """, kept AS (SELECT * FROM spanned WHERE span BETWEEN 4 AND 6 AND t_min BETWEEN -0.25 AND 0.25)"""),
+        SPANNED + f""", kept AS (SELECT *, CASE WHEN education IS NULL AND wave <> 1 THEN {donor('education', 1)} ELSE education END
+          AS education_carried FROM spanned WHERE span BETWEEN 4 AND 6 AND t_min BETWEEN -0.25 AND 0.25)"""),
     "dataset_overview": panel("""SELECT count(DISTINCT participant_id) AS participants, count(*) AS rows,
         CAST(16 AS INT) AS columns FROM panel"""),
     "column_profile": clean(profile(NUMERIC)),

@@ -11,6 +11,7 @@ from panelwise.operators import encode, exclusion, profile, visits
 from panelwise.operators.grouping import attach_group
 from panelwise.plans import study
 from panelwise.plans.views import KEY, clean_panel, panel, scored, study_panel, table
+from panelwise.session import cut_lineage
 from panelwise.sources.load import load_parquet
 
 ID = ["source", "participant_id", "wave", "row_id"]
@@ -275,13 +276,17 @@ def baseline_endpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_endpoint_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Outcome rate at the endpoint by cohort and baseline outcome, after carry and follow-up windows."""
+    """Outcome rate at the endpoint by cohort and baseline outcome, after carry and follow-up windows.
+
+    The carried panel is read three times from here on, so it is written once.
+    """
     p = visits.carry_from_visit(clean_panel(spark, d), SOCIAL, 1)
-    p = p.withColumn("fa_cat", x.threshold_flag("fa", 40))
-    p = visits.baseline_window(visits.followup_window(p, *FOLLOW_UP), *FIRST_VISIT)
-    t = visits.baseline_endpoint(p, "fa_cat", []).dropna()
+    p = cut_lineage(p.withColumn("fa_cat", x.threshold_flag("fa", 40)))
+    p = visits.study_window(p, FOLLOW_UP, FIRST_VISIT)
+    t = visits.baseline_endpoint(p, "fa_cat", SOCIAL).dropna(subset=["fa_cat_base", "fa_cat_end"])
     return t.groupBy("source", "fa_cat_base").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("fa_cat_end"), 6).alias("rate")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("fa_cat_end"), 6).alias("rate"),
+        F.count("education").alias("known_education"),
     )
 
 

@@ -12,9 +12,8 @@ from panelwise.functions.expr import (
     range_to_null, round_even, sentinel_to_null, threshold_flag, years_from_days, years_from_months,
 )
 from panelwise.operators.exclusion import any_answer, exclude_category, remap_keys
-from panelwise.operators.grouping import keep_groups
 from panelwise.operators.harmonise import Rule, harmonise
-from panelwise.operators.visits import baseline_endpoint
+from panelwise.operators.visits import baseline_endpoint, study_window
 from panelwise.session import cut_lineage
 from panelwise.sources.load import QUESTIONNAIRE_SCALES
 
@@ -135,14 +134,9 @@ def flag_study(df: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def follow_up(df: DataFrame, o: Options = Options()) -> DataFrame:
-    """Rows with answers, of participants followed long enough from close to the diagnosis.
-
-    Both participant conditions come from one aggregate.
-    """
+    """Rows with answers, of participants followed long enough from close to the diagnosis."""
     df = any_answer(df, FATIGUE_ITEMS, {"prozib": QUESTIONNAIRE_SCALES}).where(any_not_null(SOCIAL))
-    t1, t2 = round_even("time_diagnosis", 1), round_even("time_diagnosis", 2)
-    ok = (F.max(t1) - F.min(t1)).between(*o.elapsed) & F.min(t2).between(*o.first_visit)
-    return keep_groups(df, ["source", "participant_id"], ok)
+    return study_window(df, o.elapsed, o.first_visit)
 
 
 PREDICTORS = [

@@ -26,3 +26,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+ROWS_PER_PARTITION = 50_000
+
+
+def cut_for_fitting(df: DataFrame) -> DataFrame:
+    """Cut lineage, in partitions of useful size: fits pass over the table many times, and
+    each pass costs a task per partition.
+    """
+    df = cut_lineage(df)
+    return cut_lineage(df.repartition(max(1, -(-df.count() // ROWS_PER_PARTITION))))

@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from panelwise.operators import attribution, balance, encode, impute, models, neighbours, network, tuning
+from panelwise.session import cut_for_fitting
 
 
 def people(spark, n, seed=1, copies=0):
@@ -100,7 +101,7 @@ def design(spark):
     for i in range(600):
         a, b, c = rng.gauss(0, 1), rng.gauss(0, 2), rng.gauss(5, 1)
         rows.append((i, float(rng.random() < 1 / (1 + math.exp(-(2 * a - b)))), Vectors.dense([a, b, c])))
-    return models.fit_table(spark.createDataFrame(rows, ["row_id", "label", "features"]))
+    return cut_for_fitting(spark.createDataFrame(rows, ["row_id", "label", "features"]))
 
 
 def share_right(scored):
