@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +100,14 @@ def value_cuts(df: DataFrame, value: str) -> list[float]:
     return sorted(set(row["q"] or []))
 
 
-def bucket_of(value: str, cuts: Sequence[float]) -> Column:
-    """Number of cut points below the value: an order-preserving bucket."""
+def with_bucket(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Add ``_bucket``, which does not decrease with the value; found by binary search."""
     if not cuts:
-        return F.lit(0)
-    table = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(table, lambda c: c < as_col(value)))
+        return df.withColumn("_bucket", F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    d = df.withColumn("_cut", F.col(value).cast("double"))
+    d = Bucketizer(splits=splits, inputCol="_cut", outputCol="_slot").transform(d)
+    return d.withColumn("_bucket", F.col("_slot").cast("int")).drop("_cut", "_slot")
 
 
 def running_sums(
@@ -130,8 +133,8 @@ def running_sums(
         whole = Window.partitionBy(*keys)
         out = df.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums])
         return out.select("*", *[F.sum(s).over(whole).alias(f"tot_{s}") for s in sums]) if totals else out
-    b = bucket_of(order, cuts)
-    d = df.withColumn("_bucket", -b if descending else b)
+    d = with_bucket(df, order, cuts)
+    d = d.withColumn("_bucket", -F.col("_bucket")) if descending else d
     parts = d.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
     w = Window.partitionBy(*keys).orderBy("_bucket")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.expr import round_even
-from panelwise.operators.grouping import attach_group, bucket_of, keep_groups, value_cuts
+from panelwise.operators.grouping import attach_group, keep_groups, value_cuts, with_bucket
 
 KEY = ("source", "participant_id")
 
@@ -136,7 +136,7 @@ def trajectories(df: DataFrame, state: str, keys: Sequence[str] = KEY) -> DataFr
     cut into time buckets; the state before a bucket comes from the bucket before.
     """
     d = df.where(F.col(state).isNotNull() & F.col("time_diagnosis").isNotNull())
-    d = d.withColumn("_bucket", bucket_of("time_diagnosis", value_cuts(d, "time_diagnosis")))
+    d = with_bucket(d, "time_diagnosis", value_cuts(d, "time_diagnosis"))
     order = ["time_diagnosis", "wave"]
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     parts = d.groupBy(*keys, "_bucket").agg(

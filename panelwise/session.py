@@ -31,9 +31,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 ROWS_PER_PARTITION = 50_000
 
 
-def cut_for_fitting(df: DataFrame) -> DataFrame:
+def cut_for_fitting(df: DataFrame, least: int = ROWS_PER_PARTITION) -> DataFrame:
     """Cut lineage, in partitions of useful size: fits pass over the table many times, and
-    each pass costs a task per partition.
+    each pass costs a task per partition. Fits that work hard on every row name a smaller
+    ``least``: a partition then holds that many rows or more, as long as cores are idle.
     """
     df = cut_lineage(df)
-    return cut_lineage(df.repartition(max(1, -(-df.count() // ROWS_PER_PARTITION))))
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(df.repartition(max(1, -(-n // ROWS_PER_PARTITION), min(cores, n // least))))
