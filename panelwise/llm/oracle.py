@@ -2,4 +2,20 @@
 
 from __future__ import annotations
 
-LLM_ORACLE: dict[str, str] = {}
+CHAT = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>)', '<\\\1', 'g'),
+                           '\[(/?INST\])', '[\\\1', 'g') AS body FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+LLM_ORACLE: dict[str, str] = {"op8_chat_formatting": CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import quality_forest, simhash
+from panelwise.llm import chat, mixture, packing, quality_forest, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,7 +25,26 @@ def simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def mixture_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.draws(read(spark, sf_dir, "documents"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placements(read(spark, sf_dir, "documents"))
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.sql(
+        f"SELECT -7L AS conv_id, turn, role, '{odd}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v (turn, role)"))
+    return chat.digests(chat.formatted(chat.canonical(chat.records(rows))))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op10_simhash_classes": simhash_classes,
+    "op4_mixture_draws": mixture_draws,
+    "op5_best_fit_packing": best_fit_packing,
+    "op8_chat_formatting": chat_formatting,
 }
