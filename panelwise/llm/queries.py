@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import chat, mixture, packing, quality_forest, simhash
+from panelwise.llm import chat, mixture, packing, pii, quality_forest, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,10 +41,24 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical(chat.records(rows))))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:pii.BASE])]
+    return found.select("doc_id", *counts, F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"),
+                        pii.listing(F.col("spans")).alias("spans"))
+
+
+def warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.convert(warc.write_arc(read(spark, sf_dir, "pages")))
+    return warc.read_warc(made).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op10_simhash_classes": simhash_classes,
     "op4_mixture_draws": mixture_draws,
     "op5_best_fit_packing": best_fit_packing,
+    "op6_personal_data": personal_data,
+    "op7_warc_conversion": warc_conversion,
     "op8_chat_formatting": chat_formatting,
 }
