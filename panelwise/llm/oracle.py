@@ -28,4 +28,16 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
 FROM m
 """
 
-LLM_ORACLE: dict[str, str] = {"op7_warc_conversion": WARC, "op8_chat_formatting": CHAT}
+SEARCH = """
+WITH c AS (
+  SELECT vec_id, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1::UBIGINT ELSE 0::UBIGINT END),
+                             lambda a, b: a * 2 + b) AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+r AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, CAST(bit_count(xor(q.code, c.code)) AS INTEGER) AS distance,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+  FROM (SELECT * FROM c WHERE vec_id % 100 = 0) q JOIN c ON q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM r WHERE rank <= 10
+"""
+
+LLM_ORACLE: dict[str, str] = {"op3_hamming_search": SEARCH, "op7_warc_conversion": WARC, "op8_chat_formatting": CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import chat, mixture, packing, pii, quality_forest, simhash, warc
+from panelwise.llm import chat, hashing_search, licenses, mixture, packing, pii, quality_forest, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,9 +53,20 @@ def warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(made).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hashing_search.sign_code(F.col("embedding")).alias("code"))
+    return hashing_search.neighbours(codes, codes.where("id % 100 = 0"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op10_simhash_classes": simhash_classes,
+    "op2_license_scan": license_scan,
+    "op3_hamming_search": hamming_search,
     "op4_mixture_draws": mixture_draws,
     "op5_best_fit_packing": best_fit_packing,
     "op6_personal_data": personal_data,
