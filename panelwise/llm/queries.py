@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import chat, hashing_search, licenses, mixture, packing, pii, quality_forest, simhash, warc
+from panelwise.llm import chat, hashing_search, licenses, mixing_lm, mixture, packing, pii, quality_forest, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,8 +62,13 @@ def hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_search.neighbours(codes, codes.where("id % 100 = 0"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(read(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
+    "op9_language_model": language_model,
     "op10_simhash_classes": simhash_classes,
     "op2_license_scan": license_scan,
     "op3_hamming_search": hamming_search,
