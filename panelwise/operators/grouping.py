@@ -122,8 +122,10 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_<s>`` (up to and with this row) and ``tot_<s>`` for each summed column.
 
-    ``order`` must be unique inside a group: aggregate ties first.
+    ``order`` must be unique inside a group: aggregate ties first. Rows whose order value is NULL
+    or NaN have no place and are left out, with and without cuts.
     """
+    df = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
     if cuts is None:
         cuts = value_cuts(df, order)
     sort = F.col(order).desc() if descending else F.col(order).asc()

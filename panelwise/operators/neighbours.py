@@ -17,8 +17,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from panelwise.functions.hashing import hash_uniform
 from panelwise.session import cut_lineage
@@ -50,7 +51,7 @@ def _points(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _nearest(k: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "d": [], "id": []})
+            return pd.DataFrame(columns=["vid", "d", "id"], dtype=object)
         rows = right.loc[right.index.repeat(right["ids"].str.len())].copy()
         rows["one"] = np.concatenate(right["ids"].to_numpy())
         rows = rows.sort_values("one")
@@ -89,14 +90,27 @@ def _block_search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFram
     return q.cogroup(c).applyInPandas(_nearest(k), _LISTS)
 
 
+def _category(df: DataFrame, name: str) -> Column:
+    """A number for each category; of text the first 52 bits of its md5, which a double holds exactly."""
+    if isinstance(df.schema[name].dataType, StringType):
+        return F.conv(F.substring(F.md5(F.col(name)), 1, 13), 16, 10).cast("double")
+    return F.col(name).cast("double")
+
+
 def nearest_neighbours(
     df: DataFrame, row_id: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5
 ) -> DataFrame:
-    """(row, rank, neighbour, distance squared) for the k nearest other rows of every row."""
+    """(row, rank, neighbour, distance squared) for the k nearest other rows of every row.
+
+    Categories may be text or numbers. A NULL feature has no distance and is refused.
+    """
     df = cut_lineage(df.select(row_id, *numeric, *categorical))
-    spans = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first() if numeric else {}
+    gaps = F.sum(F.expr(" + ".join(f"int(`{c}` IS NULL)" for c in [*numeric, *categorical])))
+    spans = df.agg(gaps.alias("_gaps"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]).first()
+    if spans["_gaps"]:
+        raise ValueError(f"{spans['_gaps']} features are NULL: impute or drop them first")
     num = [F.col(c).cast("double") / F.lit(spans[c]) if spans[c] else F.lit(0.0) for c in numeric]
-    cat = [F.col(c).cast("double") for c in categorical]
+    cat = [_category(df, c) for c in categorical]
     rows = df.select(
         F.col(row_id).alias("row"),
         F.array(*num).cast("array<double>").alias("num"), F.array(*cat).cast("array<double>").alias("cat"),

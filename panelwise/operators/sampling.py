@@ -11,8 +11,6 @@ from panelwise.functions.hashing import hash_uniform, poisson_one, with_mix_unif
 from panelwise.operators.grouping import hash_index
 from panelwise.session import cut_lineage
 
-MAX_EXACT_DRAWS = 1_000_000_000
-
 
 def train_test_split(
     df: DataFrame, row_id: str, weights: tuple[float, float] = (0.7, 0.3), seed: int = 100, run: str | None = None
@@ -58,17 +56,17 @@ def poisson_weights(df: DataFrame, by: Sequence[str], row_id: str, replicates: i
     return d.withColumn("weight", poisson_one(F.col("_u")).cast("long")).where("weight > 0").drop("_u")
 
 
-def pick_method(df: DataFrame, replicates: int, method: str) -> str:
-    if method != "auto":
-        return method
-    return "exact" if df.count() * replicates <= MAX_EXACT_DRAWS else "poisson"
+def check_method(method: str) -> None:
+    if method not in ("exact", "poisson"):
+        raise ValueError(f"method is exact or poisson, not {method}")
 
 
 def bootstrap_weights(
-    df: DataFrame, by: Sequence[str], row_id: str, replicates: int = 1000, seed: int = 1, method: str = "auto"
+    df: DataFrame, by: Sequence[str], row_id: str, replicates: int = 1000, seed: int = 1, method: str = "exact"
 ) -> DataFrame:
     """(by, replicate, row, weight): how often each row is drawn in each replicate."""
-    if pick_method(df, replicates, method) == "poisson":
+    check_method(method)
+    if method == "poisson":
         return poisson_weights(df.select(*by, row_id), by, row_id, replicates, seed).select(
             *by, "replicate", row_id, "weight"
         )
@@ -81,10 +79,11 @@ def bootstrap_weights(
 
 def bootstrap_rows(
     df: DataFrame, by: Sequence[str], row_id: str, payload: Sequence[str],
-    replicates: int = 1000, seed: int = 1, method: str = "auto",
+    replicates: int = 1000, seed: int = 1, method: str = "exact",
 ) -> DataFrame:
     """(by, replicate, payload, weight) ready to be aggregated; equal draws are not merged."""
-    if pick_method(df, replicates, method) == "poisson":
+    check_method(method)
+    if method == "poisson":
         d = poisson_weights(df.select(*by, row_id, *payload), by, row_id, replicates, seed)
         return d.select(*by, "replicate", *payload, "weight")
     rows = indexed_rows(df.select(*by, row_id, *payload), by, row_id)
@@ -96,7 +95,7 @@ def bootstrap_rows(
 
 def bootstrap_statistics(
     df: DataFrame, by: Sequence[str], row_id: str, payload: Sequence[str], aggs: Mapping[str, Column],
-    replicates: int = 1000, seed: int = 1, method: str = "auto",
+    replicates: int = 1000, seed: int = 1, method: str = "exact",
 ) -> DataFrame:
     """Any statistic written as an aggregate over ``payload`` and ``weight``, per replicate."""
     drawn = bootstrap_rows(df, by, row_id, payload, replicates, seed, method)

@@ -43,7 +43,7 @@ def score_table(scored: DataFrame, by: Sequence[str], weight: Column | None = No
 
 def bootstrap_scores(
     scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "auto",
+    replicates: int = 1000, seed: int = 1, method: str = "exact",
 ) -> DataFrame:
     """Score tables of all replicates."""
     drawn = bootstrap_rows(scored, by, row_id, ["p", "y"], replicates, seed, method)
@@ -139,7 +139,7 @@ def all_metrics(scores: DataFrame, by: Sequence[str], cuts: Sequence[float] | No
 
 def bootstrap_metrics(
     scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "auto",
+    replicates: int = 1000, seed: int = 1, method: str = "exact",
 ) -> DataFrame:
     """Nine metrics per run and replicate, from one resample that is drawn once and kept."""
     cuts = value_cuts(scored.select(*by, "p").distinct(), "p")
@@ -162,7 +162,7 @@ def metric_summary(long: DataFrame, by: Sequence[str] = (), digits: int = 6) ->
 
 def validation_report(
     scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "auto",
+    replicates: int = 1000, seed: int = 1, method: str = "exact",
 ) -> DataFrame:
     return metric_summary(long_metrics(bootstrap_metrics(scored, by, row_id, replicates, seed, method), by))
 

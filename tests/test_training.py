@@ -187,3 +187,12 @@ def test_shap_adds_up_and_equals_the_definition(design):
     assert [got["a"], got["b"], got["c"]] == pytest.approx(list(want))
     top = attribution.shap_summary(shap, 2).collect()
     assert {r["feature"] for r in top} == {"a", "b"}
+
+
+def test_neighbours_take_text_and_refuse_null(spark):
+    schema = "id long, a double, c string"
+    df = spark.createDataFrame([(1, 0.0, "x"), (2, 0.1, "y"), (3, 1.0, "x"), (4, 0.9, "y")], schema)
+    got = neighbours.nearest_neighbours(df, "id", ["a"], ["c"], 1).orderBy("id").collect()
+    assert [r["neighbour_id"] for r in got] == [3, 4, 1, 2]
+    with pytest.raises(ValueError, match="NULL"):
+        neighbours.nearest_neighbours(df.unionByName(spark.createDataFrame([(5, None, "x")], schema)), "id", ["a"], ["c"], 1)

@@ -119,6 +119,10 @@ def test_running_sums_do_not_depend_on_buckets(spark, descending):
     a = grouping.running_sums(df, ["g"], "v", ["n"], cuts=[], descending=descending)
     b = grouping.running_sums(df, ["g"], "v", ["n"], cuts=[10.0, 33.3, 50.0, 90.0], descending=descending)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+    odd = df.unionByName(df.sparkSession.sql("SELECT 0L AS g, CAST(NULL AS DOUBLE) AS v, 5L AS n UNION ALL SELECT 1L, double('NaN'), 3L"))
+    for cuts in ([], [10.0, 33.3]):
+        c = grouping.running_sums(odd, ["g"], "v", ["n"], cuts=cuts, descending=descending)
+        assert c.exceptAll(a).count() == 0 and c.count() == a.count()
 
 
 def test_trajectories_across_buckets(spark, monkeypatch):
