@@ -121,12 +121,20 @@ def baseline_endpoint(
     endpoint_fixed: Mapping[str, int] = {},
     keys: Sequence[str] = KEY,
 ) -> DataFrame:
-    """One row per participant: baseline predictors, and the outcome at both ends by key."""
-    base = baseline_row(df, baseline_fixed, keys).select(
-        *keys, *predictors, F.col(outcome).alias(f"{outcome}_base")
+    """One row per participant: baseline predictors, and the outcome at both ends by key.
+
+    The same visits as ``baseline_row`` and ``endpoint_row`` choose, from one aggregate: the table is read
+    once and joined with nothing. Rows with a NULL key, and participants without either visit, are left out.
+    """
+    wave = F.col("wave").cast("long")
+    first = F.when(_candidates(df, baseline_fixed), F.struct(_time_order(baseline_fixed), wave))
+    last = F.when(_candidates(df, endpoint_fixed), F.struct(_time_order(endpoint_fixed), F.coalesce(-wave, F.lit(1 << 62))))
+    base = F.struct(*predictors, F.col(outcome).alias(f"{outcome}_base"))
+    end = F.struct(F.col(outcome).alias(f"{outcome}_end"))
+    both = df.dropna(subset=list(keys)).groupBy(*keys).agg(
+        F.min_by(base, first).alias("_first"), F.max_by(end, last).alias("_last")
     )
-    end = endpoint_row(df, endpoint_fixed, keys).select(*keys, F.col(outcome).alias(f"{outcome}_end"))
-    return base.join(end, list(keys))
+    return both.where("_first IS NOT NULL AND _last IS NOT NULL").select(*keys, "_first.*", "_last.*")
 
 
 def trajectories(df: DataFrame, state: str, keys: Sequence[str] = KEY) -> DataFrame:

@@ -32,6 +32,14 @@ def test_first_row_is_cut_before_the_shuffle(spark):
     assert re.search(r"row_number\(\), 1, Partial", plan)
 
 
+def test_both_ends_come_from_one_aggregate(spark):
+    df = spark.range(100).select(
+        (F.col("id") % 5).alias("source"), (F.col("id") % 7).alias("participant_id"), F.col("id").alias("wave"),
+        (F.col("id") / 8).alias("time_diagnosis"), (F.col("id") % 2).alias("y"))
+    plan = executed(visits.baseline_endpoint(df, "y", ["wave"])).split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "partial_max_by" in plan
+
+
 @pytest.mark.parametrize("name", [
     "carry_from_baseline", "harmonise_cohorts", "baseline_endpoint_rate", "c_statistic", "roc_curve",
     "bootstrap_classification", "bootstrap_weights_poisson", "attrition_report", "trajectories",
