@@ -71,6 +71,9 @@ def blocks(text: bytes) -> Iterator[tuple[int, int]]:
         low, high = max(start, cue.start() - 33 * REACH), min(stop, cue.end() + 33 * REACH)
         left = [m.start() for m in WORD.finditer(text, low, cue.start())][-REACH:]
         right = [m.end() for m in WORD.finditer(text, cue.start(), high)][: REACH + 1]
+        # A word that a byte bound cuts is dropped, as it may begin or end inside a character.
+        left = [a for a in left if a > low or low == start]
+        right = [b for b in right if b < high or high == stop]
         start, stop = (left or [cue.start()])[0], max(right[-1:] or [cue.end()])
         yield start, max(stop, cue.end())
         after = max(stop, cue.end())

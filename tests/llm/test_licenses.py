@@ -25,3 +25,11 @@ def test_findings(spark):
     assert texts[2][by[2].start:by[2].stop] == licenses.TEMPLATES["GPL-3.0"].upper()[:-1]
     assert (by[1].n_changes, by[5].n_changes, by[5].changes) == (0, 1, "work > software")
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_long_words_of_several_bytes_a_character(spark):
+    """The byte bounds of the search for words lie inside characters."""
+    notice = licenses.TEMPLATES["MIT"]
+    rows = [(i, "許可" * 900 + "a" * i + " " + notice + " " + "a" * i + "許可" * 900) for i in range(6)]
+    got = licenses.scan(spark.createDataFrame([(i, t, "zh", "a", 1) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.license, dict(rows)[r.doc_id][r.start:r.stop]) for r in got) == [(i, "MIT", notice[:-1]) for i in range(6)]
