@@ -7,7 +7,7 @@ added and at most ``MOST_CHANGED`` per cent of its words, but one in any case, a
 up to ``HOLDER`` words (year, holder) may follow them, without counting. Of several confirmed templates that wins whose
 text as a zstandard raw dictionary saves most bytes when the ``REACH`` words on either side are compressed.
 
-Notices are looked for inside a line. Any confirmed notice holds its anchor, so none is missed.
+Line breaks and comment leaders do not count; after a notice the scan goes on at its end. Any confirmed notice holds its anchor, so none is missed.
 Work is linear in the text. Rows are handled one by one, nothing is shuffled.
 
 Defined results: NULL and empty texts have no finding; ids may be NULL or repeated and come back as they
@@ -18,7 +18,6 @@ those of the first and last words shared with the template; other columns are no
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -66,6 +65,8 @@ REFUSED = {
 NEVER_ADDED = {"no", "not"}
 SPELLED = {"licence": "license", "licenced": "licensed"}
 PART = re.compile(r"\w+(?:[.-]\w+)*")
+#: Comment leaders that are words.
+LEADER = re.compile(r"(?im)^[ \t]*(?:rem|dnl)(?=\s)")
 HOLDER = 12
 REACH = 40
 MOST_CHANGED = 20
@@ -170,7 +171,8 @@ def confirm(t: Template, words: list[str], at: int, low: int, high: int) -> tupl
 
 def notices(text: str, known: list[Template], plain, with_dict: dict) -> Iterator[tuple]:
     """(start, stop, license, saved bytes, changed words, differences) of every confirmed notice, from left to right."""
-    spans = [m.span() for m in PART.finditer(text)]
+    leaders = {m.end() for m in LEADER.finditer(text)}
+    spans = [m.span() for m in PART.finditer(text) if m.end() not in leaders]
     words = [text[a:b].lower() for a, b in spans]
     by_anchor: dict[str, list[Template]] = {}
     for t in known:
@@ -180,12 +182,9 @@ def notices(text: str, known: list[Template], plain, with_dict: dict) -> Iterato
         for_word = by_anchor.get(SPELLED.get(word, word))
         if for_word is None or at < low:
             continue
-        start, stop = text.rfind("\n", 0, spans[at][0]) + 1, text.find("\n", spans[at][1])
-        first = max(low, bisect_left(spans, (start, 0)))
-        end = bisect_left(spans, (stop if stop >= 0 else len(text), 0))
-        found = [(t, f) for t in for_word if (f := confirm(t, words, at, first, end))]
+        found = [(t, f) for t in for_word if (f := confirm(t, words, at, low, len(words)))]
         if found:
-            data = text[spans[max(first, at - REACH)][0] : spans[min(end, at + REACH + 1) - 1][1]].lower().encode()
+            data = text[spans[max(low, at - REACH)][0] : spans[min(len(words), at + REACH + 1) - 1][1]].lower().encode()
             alone = len(plain.compress(data))
             grown, _, t, (n, listed, a, b) = min(((len(with_dict[t.name].compress(data)) - alone, t.name, t, f) for t, f in found), key=lambda x: x[:2])
             yield spans[a][0], spans[b - 1][1], t.name, -grown, n, listed

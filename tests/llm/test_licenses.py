@@ -105,3 +105,16 @@ def test_notices_against_a_scan_of_whole_texts(spark):
     got = Counter((r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect())
     assert got == Counter({(r[0], name): n for r in rows for name, n in plain_counts(r[1]).items()})
     assert len({name for _, name in got}) > 8
+
+
+def test_wrapped_and_neighbouring_notices(spark):
+    rows = [
+        (1, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided"),
+        (2, " * Licensed under the Apache\n * License, Version 2.0\n"), (3, "dnl Released under the\ndnl MIT License."),
+        (4, "Released under the MIT License. Or: Licensed under the Apache License, Version 2.0. Copyright 2024 Acme.\nAll rights\nreserved."),
+        (5, "Released under the MIT License. " * 50),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)).collect()
+    assert Counter((r.doc_id, r.license) for r in got) == {
+        (1, "BSD-3-Clause"): 1, (2, "Apache-2.0"): 1, (3, "MIT"): 1, (4, "MIT"): 1, (4, "Apache-2.0"): 1, (4, "all-rights-reserved"): 1, (5, "MIT"): 50}
+    assert next(r.changes for r in got if r.doc_id < 4) == ""
