@@ -39,12 +39,15 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-WIDE = (
-    r"(?<![A-Za-z0-9+@._-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
+BEGIN = "(?<![A-Za-z0-9+@._-])"
+WRITTEN = (
+    r"(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-    r"|[A-Za-z0-9_+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,64}){1,8}"
-    r"|(?=[A-Za-z_+/-]{0,19}[0-9])(?=[0-9_+/-]{0,19}[A-Za-z])[A-Za-z0-9_+/-]{20,512}(?![A-Za-z0-9_+/@.-]))"
+    r"|[A-Za-z0-9_+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,64}){1,8})"
 )
+WIDE = BEGIN + WRITTEN
+#: A whole run of any length and the mark after it: what is a token is decided on the hit, so no run is read twice.
+RUN = BEGIN + f"(?!{WRITTEN})" + "[A-Za-z0-9_+/-]{20,}+[@.]?"
 #: The labelers' lists.
 TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65"
@@ -122,7 +125,13 @@ def wide_matches(text: Column) -> Column:
                  .otherwise(hit.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") | (hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9].*[0-9]"))))
         return example(k, m, valid)
 
-    return F.when(text.rlike(WIDE), F.transform(located(text, WIDE), one).cast(EXAMPLE)).otherwise(F.array().cast(EXAMPLE))
+    def found(pattern: str) -> Column:
+        return F.when(text.rlike(pattern), located(text, pattern)).otherwise(F.array())
+
+    tokens = F.filter(found(RUN), lambda m: m["hit"].rlike("[0-9]") & m["hit"].rlike("[A-Za-z]") & ~m["hit"].rlike("[@.]$"))
+    # What is written inside a token is part of it.
+    apart = lambda m: ~F.exists(tokens, lambda t: (t["start"] < m["start"]) & (m["stop"] <= t["stop"]))
+    return F.array_sort(F.transform(F.concat(F.filter(found(WIDE), apart), tokens), one).cast(EXAMPLE))
 
 
 def with_features(text: Column, examples: Column) -> Column:

@@ -67,3 +67,14 @@ def test_model_learns_reliabilities():
     score = model.bias + sum(w * (cells[:, pii.CELL.index(c)] == v) for (c, v), w in model.weights.items())
     assert ((score > 0) == truth).mean() > 0.95
     assert not pii.estimate(np.zeros((0, 7), int)).weights
+
+
+def test_tokens_are_judged_by_their_whole_length(spark):
+    late, long = "ghp_" + "aBcDeFgHiJkLmNoPqRsT" + "7uV9", "k" * 600 + "1" * 600
+    texts = [
+        (late, [late]), (f"x {long} y", [long]), ("1" * 24 + "ab", ["1" * 24 + "ab"]), ("a" * 30, []), (late + ".", []), (f"https://a.io/{late}", [late]),
+        ("a/" * 200000 + ".", []), ("555-123-4567 and 1234567890/555-123-4567 and " + late, ["555-123-4567", "555-123-4567", late]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")
+    got = docs.select("i", F.transform(pii.wide_matches(F.col("text")), lambda m: m["hit"]).alias("hits")).collect()
+    assert {r.i: r.hits for r in got} == {i: hits for i, (_, hits) in enumerate(texts)}
