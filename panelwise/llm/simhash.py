@@ -189,6 +189,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     columns come back as they were.
     """
     ids = members(docs, id_col, text_col, radius, bands, cell_rows).select("id", "content", "root")
+    return first_of_class(docs, ids, id_col, text_col)
+
+
+def first_of_class(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each root in ``ids`` (id, content, root), chosen as in ``keep_one``."""
     first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "content")
     best = ids.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("id", "content", "root")
     times = ids.groupBy("id", "content", "root").agg(F.count("*").alias("times"))
