@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import chat, hashing_search, licenses, mixing_lm, mixture, packing, pii, quality_forest, simhash, warc
+from panelwise.llm import chat, hashing_search, licenses, mixing_lm, mixture, packing, periodic, pii, quality_forest, simhash, warc
+from panelwise.llm.common import WORD
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +67,32 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.score(read(spark, sf_dir, "documents"))
 
 
+def cycled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where, for a tenth of the ids, the words from some word on repeat a unit to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"),
+                       F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    rows = rows.withColumn("n", F.coalesce(F.size("words"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = (F.col("n") - F.col("a")).cast("int")
+    unit = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(cycled(read(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return best.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op9_language_model": language_model,
@@ -77,4 +104,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": personal_data,
     "op7_warc_conversion": warc_conversion,
     "op8_chat_formatting": chat_formatting,
+    "op12_periodic_runs": periodic_runs,
 }
