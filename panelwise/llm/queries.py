@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import chat, hashing_search, licenses, mixing_lm, mixture, packing, periodic, pii, quality_forest, simhash, warc
+from panelwise.llm import alignment, chat, hashing_search, licenses, mixing_lm, mixture, packing, periodic, pii, quality_forest, simhash, warc
 from panelwise.llm.common import WORD
 
 
@@ -93,6 +93,10 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.profiles(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op9_language_model": language_model,
@@ -104,5 +108,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": personal_data,
     "op7_warc_conversion": warc_conversion,
     "op8_chat_formatting": chat_formatting,
+    "op11_tokenizer_alignment": tokenizer_alignment,
     "op12_periodic_runs": periodic_runs,
 }
