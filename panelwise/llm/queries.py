@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import alignment, chat, hashing_search, licenses, mixing_lm, mixture, packing, periodic, pii, quality_forest, simhash, warc
+from panelwise.llm import alignment, chat, hashing_search, licenses, mixing_lm, mixture, packing, periodic, pii, quality_forest, simhash, toxicity, warc
 from panelwise.llm.common import WORD
 
 
@@ -97,6 +97,13 @@ def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.profiles(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
+    found = toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), lambda c: fold(c) != 0)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("clauses").cast("long").alias("n_clauses"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op9_language_model": language_model,
@@ -110,4 +117,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat_formatting,
     "op11_tokenizer_alignment": tokenizer_alignment,
     "op12_periodic_runs": periodic_runs,
+    "op13_toxic_clauses": toxic_clauses,
 }
