@@ -54,6 +54,17 @@ def with_mix_uniform(df: DataFrame, name: str, seed: int, *keys: str) -> DataFra
     return df.selectExpr(*kept, f"explode(array((_mix ^ shiftright(_mix, 16)) / {TWO_32}D)) AS {name}")
 
 
+def mix_step(state: Any, key: Any, place: int) -> Any:
+    """What ``with_mix_uniform`` does with its key number ``place``, on whole numbers or on unsigned numpy arrays."""
+    state = state ^ ((key ^ (key >> 32)) & MASK_32)
+    state = ((state ^ (state >> 16)) * MIX_MULTIPLIER) & MASK_32
+    return ((state ^ (state >> 15)) * MIX_MULTIPLIER + place + 1) & MASK_32
+
+
+def mix_uniform(state: Any) -> Any:
+    return (state ^ (state >> 16)) / TWO_32
+
+
 # P(count <= k) of a Poisson(1) count; beyond k = 12 less than one draw in 2**32 remains.
 POISSON_1_CDF = list(accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
 

@@ -8,19 +8,21 @@ every metric.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.expr import as_col
+from panelwise.operators import replicates as replicates_
 from panelwise.operators.grouping import running_sums, value_cuts
-from panelwise.operators.sampling import bootstrap_rows
+from panelwise.operators.replicates import SMALLEST_P, damped_newton
+from panelwise.operators.sampling import check_method
 from panelwise.session import cut_lineage
 
 CUT = 0.5
-NEWTON_STEPS = 8
-SMALLEST_P = 1e-15
+#: Shares below which the ends of a percentile interval lie.
+INTERVAL = (0.025, 0.975)
 Z_95 = 1.959963984540054
 DECILES = 10
 GRID = 20
@@ -41,15 +43,6 @@ def score_table(scored: DataFrame, by: Sequence[str], weight: Column | None = No
     return scored.groupBy(*by, "p").agg(F.sum(w * y).alias("n1"), F.sum(w * (1 - y)).alias("n0"))
 
 
-def bootstrap_scores(
-    scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "exact",
-) -> DataFrame:
-    """Score tables of all replicates."""
-    drawn = bootstrap_rows(scored, by, row_id, ["p", "y"], replicates, seed, method)
-    return score_table(drawn, [*by, "replicate"], F.col("weight"))
-
-
 def confusion_matrix(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Four counts at the cut, positive class 1."""
     up = F.col("p") >= F.lit(CUT)
@@ -91,60 +84,95 @@ def _clamped() -> Column:
     return F.least(F.greatest(F.col("p"), F.lit(SMALLEST_P)), F.lit(1 - SMALLEST_P))
 
 
+def _explained(e: Column, o: Column, loglik: Column) -> Column:
+    """Explained variation of risks with this log likelihood, against the rate of e events and o non-events alone."""
+    n = e + o
+    d0 = F.when((e > 0) & (o > 0), -2 * (e * F.log(e / n) + o * F.log(o / n)))
+    return (1 - F.exp((-2 * loglik - d0) / n)) / (1 - F.exp(-d0 / n))
+
+
 def nagelkerke_r2(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Explained variation of the risks as they are, against the event rate alone."""
     p = _clamped()
-    loglik = F.sum(F.col("n1") * F.log(p) + F.col("n0") * F.log(1 - p))
     d = scores.groupBy(*by).agg(
-        F.sum("n1").alias("_e"), F.sum("n0").alias("_o"), (-2 * loglik).alias("_d")
+        F.sum("n1").cast("double").alias("_e"), F.sum("n0").cast("double").alias("_o"),
+        F.sum(F.col("n1") * F.log(p) + F.col("n0") * F.log(1 - p)).alias("_l"),
     )
-    e, o = F.col("_e").cast("double"), F.col("_o").cast("double")
-    n = e + o
-    d0 = F.when((e > 0) & (o > 0), -2 * (e * F.log(e / n) + o * F.log(o / n)))
-    r2 = (1 - F.exp((F.col("_d") - d0) / n)) / (1 - F.exp(-d0 / n))
-    return d.select(*by, r2.alias("r2"))
+    return d.select(*by, _explained(F.col("_e"), F.col("_o"), F.col("_l")).alias("r2"))
+
+
+def _recalibration_sums(scores: DataFrame, keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """For (keys, a, b) the loss of the outcome's logistic model a + b * logit(p) and its derivatives, of all groups in one aggregate."""
+    p = f"least(greatest(p, {SMALLEST_P}D), 1D - {SMALLEST_P}D)"
+    d = cut_lineage(scores.selectExpr(*keys, f"ln({p} / (1 - {p})) AS z", "n1", "n0"))
+
+    def evaluate(trial: DataFrame) -> DataFrame:
+        risk = d.join(trial, list(keys)).selectExpr(*keys, "z", "n1", "n0", "a + b * z AS x", "1 / (1 + exp(-(a + b * z))) AS mu")
+        parts = risk.selectExpr(
+            *keys, "z", "n1 * greatest(-x, 0) + n0 * greatest(x, 0) + (n1 + n0) * log1p(exp(-abs(x))) AS l",
+            "(n1 + n0) * mu * (1 - mu) AS v", "n1 - (n1 + n0) * mu AS r")
+        return parts.groupBy(*keys).agg(*map(F.expr, (
+            "sum(l) AS loss", "sum(r) AS g0", "sum(r * z) AS g1", "sum(v) AS s0", "sum(v * z) AS s1", "sum(v * z * z) AS s2")))
+
+    return evaluate
 
 
-def calibration_slope(scores: DataFrame, by: Sequence[str], steps: int = NEWTON_STEPS) -> DataFrame:
-    """Intercept and slope of the outcome on logit(p), all groups at once.
+def calibration_slope(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, intercept, slope, converged) of the outcome on logit(p), all groups at once, by damped Newton steps.
 
-    Each Newton step is one aggregate of five weighted sums per group and a 2x2 solve.
+    A round is one aggregate of six sums a group. Groups whose outcomes are all alike, or set apart by the score, or that have one
+    score only, have no slope: it is NULL and ``converged`` false.
     """
-    p = f"least(greatest(p, {SMALLEST_P}D), 1D - {SMALLEST_P}D)"
-    d = scores.selectExpr(*by, f"ln({p} / (1 - {p})) AS z", "n1", "n1 + n0 AS w")
-    params = None
-    for _ in range(steps):
-        start = d.selectExpr("*", "0D AS a", "1D AS b") if params is None else d.join(params, list(by))
-        risk = start.selectExpr(*by, "z", "n1", "w", "a", "b", "1 / (1 + exp(-(a + b * z))) AS mu")
-        parts = risk.selectExpr(*by, "z", "a", "b", "w * mu * (1 - mu) AS v", "n1 - w * mu AS r")
-        sums = parts.groupBy(*by).agg(*map(F.expr, (
-            "first(a) AS a", "first(b) AS b", "sum(v) AS s0", "sum(v * z) AS s1", "sum(v * z * z) AS s2",
-            "sum(r) AS g0", "sum(r * z) AS g1",
-        )))
-        params = sums.selectExpr(
-            *by,
-            "a + try_divide(s2 * g0 - s1 * g1, s0 * s2 - s1 * s1) AS a",
-            "b + try_divide(s0 * g1 - s1 * g0, s0 * s2 - s1 * s1) AS b",
-        )
-    return params.selectExpr(*by, "a AS intercept", "b AS slope")
-
-
-def all_metrics(scores: DataFrame, by: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:
-    """The nine metrics side by side, one row per group. Score tables read often: pass them materialised."""
-    keys = list(by)
-    out = classification_metrics(confusion_matrix(scores, by), by)
-    out = out.join(c_statistic(scores, by, cuts), keys, "left").join(nagelkerke_r2(scores, by), keys, "left")
-    return out.join(calibration_slope(scores, by).select(*by, "slope"), keys, "left")
+    start = scores.groupBy(*by).agg(F.sum(F.col("n1") + F.col("n0")).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    return damped_newton(start, by, "n", _recalibration_sums(scores, by))
+
+
+def recalibrated(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Scores with p moved to the outcome's logistic model on logit(p); groups without such a model keep theirs."""
+    z = F.log(_clamped() / (1 - _clamped()))
+    d = scores.join(calibration_slope(scores, by), list(by), "left")
+    moved = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * z)))
+    return d.select(*by, F.coalesce(moved, F.col("p")).alias("p"), "n1", "n0").groupBy(*by, "p").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def bootstrap_totals(
+    scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
+    replicates: int = 1000, seed: int = 1, method: str = "exact", unit: int = replicates_.UNIT,
+) -> tuple[DataFrame, DataFrame]:
+    """Counts and sums per run and replicate, and the units they were made from. Draws stay inside tasks; only sums are shuffled."""
+    check_method(method)
+    cuts = value_cuts(scored.select(*by, "p").distinct(), "p")
+    units = replicates_.work(scored, by, row_id, replicates, seed, method, unit, cuts)
+    return replicates_.totals(replicates_.replicate_sums(units, by, replicates, seed, CUT), by), units
+
+
+def bootstrap_classification(
+    scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
+    replicates: int = 1000, seed: int = 1, method: str = "exact", unit: int = replicates_.UNIT,
+) -> DataFrame:
+    """The six rates per run and replicate."""
+    sums, _ = bootstrap_totals(scored, by, row_id, replicates, seed, method, unit)
+    return classification_metrics(sums, [*by, "replicate"])
 
 
 def bootstrap_metrics(
     scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "exact",
+    replicates: int = 1000, seed: int = 1, method: str = "exact", unit: int = replicates_.UNIT,
 ) -> DataFrame:
-    """Nine metrics per run and replicate, from one resample that is drawn once and kept."""
-    cuts = value_cuts(scored.select(*by, "p").distinct(), "p")
-    scores = cut_lineage(bootstrap_scores(scored, by, row_id, replicates, seed, method))
-    return all_metrics(scores, [*by, "replicate"], cuts)
+    """Nine metrics per run and replicate, from one resample.
+
+    Slopes start from the run's own one, so that two or three rounds are enough; draws are made anew in each, not kept.
+    """
+    keys = [*by, "replicate"]
+    sums, units = bootstrap_totals(scored, by, row_id, replicates, seed, method, unit)
+    sums = cut_lineage(sums)
+    own = calibration_slope(score_table(scored.dropna(subset=[*by, "p", "y"]), by), by)
+    start = sums.join(own, list(by), "left").select(
+        *keys, (F.col("n1") + F.col("n0")).alias("n"), F.coalesce("intercept", F.lit(0.0)).alias("a"), F.coalesce("slope", F.lit(0.0)).alias("b"))
+    slopes = damped_newton(start, keys, "n", replicates_.slope_sums(units, by, seed))
+    e, o = F.col("n1").cast("double"), F.col("n0").cast("double")
+    more = sums.select(*keys, F.try_divide(F.col("concordant"), e * o).alias("c_statistic"), _explained(e, o, F.col("loglik")).alias("r2"))
+    return classification_metrics(sums, keys).join(more, keys).join(slopes.select(*keys, "slope"), keys, "left")
 
 
 def long_metrics(wide: DataFrame, keep: Sequence[str], metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -153,18 +181,20 @@ def long_metrics(wide: DataFrame, keep: Sequence[str], metrics: Sequence[str] =
 
 
 def metric_summary(long: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    """Mean and sd per metric over all runs and replicates, NULLs ignored."""
+    """Mean and sd per metric over all runs and replicates, and the interval that holds the middle 95 % of them; NULLs ignored."""
+    low, high = (F.percentile("value", share) for share in INTERVAL)
     return long.groupBy(*by, "metric").agg(
         F.round(F.avg("value"), digits).alias("mean"), F.round(F.stddev_samp("value"), digits).alias("sd"),
-        F.count("value").alias("n"),
+        F.round(low, digits).alias("low"), F.round(high, digits).alias("high"), F.count("value").alias("n"),
     )
 
 
 def validation_report(
     scored: DataFrame, by: Sequence[str] = ("imp",), row_id: str = "row_id",
-    replicates: int = 1000, seed: int = 1, method: str = "exact",
+    replicates: int = 1000, seed: int = 1, method: str = "exact", unit: int = replicates_.UNIT,
 ) -> DataFrame:
-    return metric_summary(long_metrics(bootstrap_metrics(scored, by, row_id, replicates, seed, method), by))
+    """Mean, sd and 95 % percentile interval of the nine metrics over all runs and replicates."""
+    return metric_summary(long_metrics(bootstrap_metrics(scored, by, row_id, replicates, seed, method, unit), by))
 
 
 def roc_curve(scores: DataFrame, by: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:

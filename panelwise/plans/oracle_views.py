@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwise.functions.hashing import MASK_32, MIX_MULTIPLIER, mix_seed
+MASK_32, MIX_MULTIPLIER = 4294967295, 73244475
 
 
 def hash_uniform(seed: int, *keys: str) -> str:
@@ -13,7 +13,7 @@ def hash_uniform(seed: int, *keys: str) -> str:
 def mix_uniform(source: str, name: str, seed: int, *keys: str) -> str:
     """A subquery over ``source`` (a table or parenthesised query) with the extra column."""
     q = source
-    h = f"{mix_seed(seed)}::BIGINT"
+    h = f"{(seed * 2654435761 + 97) % 4294967296}::BIGINT"
     for i, k in enumerate(keys):
         k = f"CAST({k} AS BIGINT)"
         first = f"xor({h}, xor({k}, {k} >> 32) & {MASK_32})"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.operators import sampling, validate
+from panelwise.functions.hashing import hash_uniform
+from panelwise.operators import replicates, sampling, validate
 from panelwise.operators.grouping import value_cuts
 from panelwise.plans.views import scored
 
 RUN = ["imp"]
-REPLICATES = 40
+REPLICATES = 1000
 SEED = 7
 
 
@@ -50,9 +52,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_classification(spark: SparkSession, d: str) -> DataFrame:
-    by = [*RUN, "replicate"]
-    s = validate.bootstrap_scores(scored(spark, d), RUN, "row_id", REPLICATES, SEED, "exact")
-    return _rounded(validate.classification_metrics(validate.confusion_matrix(s, by), by), by)
+    return _rounded(validate.bootstrap_classification(scored(spark, d), RUN, "row_id", REPLICATES, SEED, "exact"), [*RUN, "replicate"])
 
 
 def c_statistic(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,32 @@ def nagelkerke_r2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibration_slope(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(validate.calibration_slope(validate.score_table(scored(spark, d), RUN), RUN), RUN)
+    return _rounded(validate.calibration_slope(validate.score_table(scored(spark, d), RUN), RUN), [*RUN, "converged"])
+
+
+def extreme(spark: SparkSession, d: str) -> DataFrame:
+    """The scored rows with risks of 0, a half and 1 only, not all of them right."""
+    noisy = F.col("p") + hash_uniform(12, "row_id") - 0.5
+    return scored(spark, d).withColumn("p", F.when(noisy < 0.25, 0.0).when(noisy < 0.75, 0.5).otherwise(1.0))
+
+
+def calibration_slope_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(validate.calibration_slope(validate.score_table(extreme(spark, d), RUN), RUN), [*RUN, "converged"])
+
+
+def recalibrated_r2(spark: SparkSession, d: str) -> DataFrame:
+    scores = validate.score_table(scored(spark, d), RUN)
+    return _rounded(validate.nagelkerke_r2(validate.recalibrated(scores, RUN), RUN), RUN)
+
+
+def scored_finely(spark: SparkSession, d: str) -> DataFrame:
+    """The scored rows with risks of their own: few of them are equal."""
+    return scored(spark, d).withColumn("p", F.round(F.col("p") + 0.001 * hash_uniform(11, "row_id"), 9))
+
+
+def validation_report_continuous(spark: SparkSession, d: str) -> DataFrame:
+    """Scores without ties, cut into small units of draws."""
+    return validate.validation_report(scored_finely(spark, d), RUN, "row_id", REPLICATES, SEED, "exact", unit=128)
 
 
 def roc_curve(spark: SparkSession, d: str) -> DataFrame:
@@ -89,19 +114,50 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
 
 def metric_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean and sd of the rates over runs, on Poisson resamples."""
-    by = [*RUN, "replicate"]
-    s = validate.bootstrap_scores(scored(spark, d), RUN, "row_id", REPLICATES, SEED, "poisson")
-    wide = validate.classification_metrics(validate.confusion_matrix(s, by), by)
-    return validate.metric_summary(validate.long_metrics(wide, by, validate.METRICS[:6]))
+    wide = validate.bootstrap_classification(scored(spark, d), RUN, "row_id", REPLICATES, SEED, "poisson")
+    return validate.metric_summary(validate.long_metrics(wide, [*RUN, "replicate"], validate.METRICS[:6]))
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean of values with six decimals at most, rounded to six: in whole numbers, so that no order of summing shows."""
+    total, n = F.sum(F.round(value * 1_000_000).cast("long")), F.count(value)
+    return F.floor((2 * total + n) / (2 * n)) / 1_000_000
+
+
+def _millionths(total: float, n: float) -> float | None:
+    return (2 * int(total) + int(n)) // (2 * int(n)) / 1_000_000 if n else None
 
 
 def bootstrap_custom(spark: SparkSession, d: str) -> DataFrame:
-    w = F.col("weight")
-    return sampling.bootstrap_statistics(scored(spark, d), RUN, "row_id", ["p", "y"], {
-        "mean_risk": F.round(F.sum(w * F.col("p")) / F.sum(w), 6),
-        "event_rate": F.round(F.sum(w * F.col("y")) / F.sum(w), 6),
-        "brier": F.round(F.sum(w * (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))) / F.sum(w), 6),
-    }, REPLICATES, SEED, "exact")
+    """Weighted means, as a user's statistic: sums in whole millionths and the number of draws."""
+    names = ["mean_risk", "event_rate", "brier"]
+    values = {"mean_risk": F.col("p"), "event_rate": F.col("y"), "brier": (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))}
+    rows = scored(spark, d).select("imp", "row_id", *[F.round(v * 1_000_000).cast("long").alias(n) for n, v in values.items()])
+    means = replicates.Statistic(
+        names, lambda rows, w: np.array([*(w @ rows[n] for n in names), w.sum()]), np.add,
+        lambda s: [_millionths(t, s[-1]) for t in s[:-1]])
+    return replicates.replicate_statistics(rows, RUN, "row_id", names, means, REPLICATES, SEED)
+
+
+def bootstrap_trimmed_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean risk without the lowest and the highest tenth of the draws: no aggregate of SQL, its state is how often each risk is drawn."""
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.concatenate([a.reshape(-1, 2), b.reshape(-1, 2)])
+        values, at = np.unique(both[:, 0], return_inverse=True)
+        return np.column_stack([values, np.bincount(at, both[:, 1])]).ravel()
+
+    def finish(state: np.ndarray) -> list[float | None]:
+        values, n = state.reshape(-1, 2).T
+        upto, total = np.cumsum(n), n.sum()
+        out = total // 10
+        left = np.clip(np.minimum(upto, total - out) - np.maximum(upto - n, out), 0, None)
+        return [_millionths(float(values @ left), float(left.sum()))]
+
+    rows = scored(spark, d).select("imp", "row_id", F.round(F.col("p") * 1_000_000).cast("long").alias("p"))
+    trimmed = replicates.Statistic(
+        ["trimmed_mean"], lambda rows, w: merge(np.column_stack([rows["p"], w])[w > 0].ravel(), np.empty(0)), merge, finish)
+    return replicates.replicate_statistics(rows, RUN, "row_id", ["p"], trimmed, REPLICATES, SEED, unit=128)
 
 
 QUERIES = {
@@ -110,5 +166,6 @@ QUERIES = {
         train_test_split, train_test_split_per_run, bootstrap_weights, bootstrap_weights_poisson, classify_threshold,
         confusion_matrix, bootstrap_classification, c_statistic, nagelkerke_r2, calibration_slope, roc_curve,
         roc_average, calibration_table, validation_report, metric_summary, bootstrap_custom,
+        bootstrap_trimmed_mean, calibration_slope_extremes, recalibrated_r2, validation_report_continuous,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelwise.plans.oracle_views import TRAIN, TRAIN_MISSING, hash_uniform
+from panelwise.plans.score_oracle import exact_mean
 from panelwise.plans.train_queries import CATEGORICAL, NUMERIC
 
 
@@ -63,7 +64,7 @@ ORACLE = {
     "sample_impute": imputed(["fa", "bmi", "education"], 1)
     + " SELECT imp, row_id, round(fa, 6) AS fa, round(bmi, 6) AS bmi, education, y FROM imputed",
     "stack_imputations": imputed(["fa", "bmi"], 10)
-    + " SELECT imp, count(*) AS n, round(avg(fa), 6) AS mean_fa, round(avg(bmi), 6) AS mean_bmi FROM imputed GROUP BY imp",
+    + " SELECT imp, count(*) AS n, " + f"{exact_mean('fa')} AS mean_fa, {exact_mean('bmi')} AS mean_bmi FROM imputed GROUP BY imp",
     "minority_knn": f"WITH {KNN} SELECT row_id, rank, neighbour_id, round(distance2, 6) AS distance2 FROM knn",
     "smote": SMOTE,
     "one_hot": f"WITH {TRAIN} SELECT row_id, y, {hot('education', [1, 2, 3, 5, 98])}, {hot('stage', [1, 2, 3, 4])} FROM train",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwise.operators import encode, impute
 from panelwise.operators.balance import smote as smote_rows
 from panelwise.operators.neighbours import nearest_neighbours
+from panelwise.plans.score_queries import exact_mean
 from panelwise.plans.views import train_missing, train_table
 
 NUMERIC = ["fa", "bmi", "age_questionnaire"]
@@ -26,7 +27,7 @@ def sample_impute(spark: SparkSession, d: str) -> DataFrame:
 def stack_imputations(spark: SparkSession, d: str) -> DataFrame:
     t = impute.sample_impute(train_missing(spark, d), "row_id", ["fa", "bmi"], {i: 100 * i for i in range(1, 11)})
     return t.groupBy("imp").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("fa"), 6).alias("mean_fa"), F.round(F.avg("bmi"), 6).alias("mean_bmi")
+        F.count(F.lit(1)).alias("n"), exact_mean(F.col("fa")).alias("mean_fa"), exact_mean(F.col("bmi")).alias("mean_bmi")
     )
 
 
