@@ -1,106 +1,130 @@
-"""SHAP values of boosted trees.
+"""SHAP values of boosted trees, in time polynomial in the depth.
 
-A leaf contributes through the few features on its path only. Whether a row meets each
-of them is a pattern of bits, and the contribution of every pattern is worked out once
-per leaf. A task then only looks patterns up, for whole batches of rows at a time.
+A feature's value is an integral over t of what the paths through its splits are worth when every other feature of the path is
+known with probability t. On a path, a feature that the row meets counts t + (1 - t) z, and one that it misses (1 - t) z, z being the
+share of training rows that its splits let through. The product is a polynomial in t whose degree is the number of features, so a
+Gauss quadrature of half as many points is exact. Going down a split extends the products at these points by a
+factor; coming up, the sums over all leaves below are unwound by dividing it out. A split costs the same whatever hangs
+below it, and rows are taken in batches.
+
+Trees reach the tasks as node arrays, read from the model's own stored form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwise.session import ensure_checkpoint_dir
 
-@dataclass
-class LeafTable:
-    """Interval per path feature, and the contribution to each feature by pattern of bits."""
-
-    features: list[int]
-    low: np.ndarray
-    high: np.ndarray
-    phi: np.ndarray
-    expected: float
-
-
-def _leaf_table(path: list[tuple[int, float, float, float]], value: float) -> LeafTable:
-    """``path``: (feature, low, high, share of training rows sent this way) per split."""
-    merged: dict[int, list[float]] = {}
-    for f, low, high, share in path:
-        m = merged.setdefault(f, [-np.inf, np.inf, 1.0])
-        m[0], m[1], m[2] = max(m[0], low), min(m[1], high), m[2] * share
-    feats = sorted(merged)
-    shares = np.array([merged[f][2] for f in feats])
-    m = len(feats)
-    phi = np.zeros((2**m, m))
-    bits = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
-    for i in range(m):
-        rest = [j for j in range(m) if j != i]
-        for size in range(m):
-            scale = factorial(size) * factorial(m - size - 1) / factorial(m)
-            for known in combinations(rest, size):
-                unknown = [j for j in rest if j not in known]
-                met = bits[:, list(known)].all(axis=1) if known else np.ones(2**m, bool)
-                phi[:, i] += scale * met * shares[unknown].prod() * (bits[:, i] - shares[i])
-    return LeafTable(
-        feats, np.array([merged[f][0] for f in feats]), np.array([merged[f][1] for f in feats]),
-        phi * value, float(shares.prod() * value),
-    )
-
-
-def _walk(node, path: list, out: list[LeafTable], scale: float) -> None:
-    if node.getClass().getSimpleName() == "LeafNode":
-        out.append(_leaf_table(path, node.prediction() * scale))
-        return
-    split, rows = node.split(), node.impurityStats().count()
-    feature, at = split.featureIndex(), split.threshold()
-    for child, low, high in ((node.leftChild(), -np.inf, at), (node.rightChild(), at, np.inf)):
-        _walk(child, [*path, (feature, low, high, child.impurityStats().count() / rows)], out, scale)
+#: Rows a task takes through the trees at a time.
+ROWS_AT_ONCE = 2_048
 
 
-def leaf_tables(model) -> list[LeafTable]:
-    """Leaves of a fitted GBT model. The margin is twice the weighted sum of the trees."""
-    out: list[LeafTable] = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        _walk(tree._java_obj.rootNode(), [], out, 2.0 * weight)
+@dataclass
+class Tree:
+    """Nodes in order of id, the root first; -1 for no child. ``share``: of the parent's training rows; ``value`` at leaves on the log-odds scale."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+    def depth(self, node: int = 0) -> int:
+        if self.left[node] < 0:
+            return 0
+        return 1 + max(self.depth(self.left[node]), self.depth(self.right[node]))
+
+    def expected(self, node: int = 0) -> float:
+        if self.left[node] < 0:
+            return float(self.value[node])
+        return sum(float(self.share[c]) * self.expected(c) for c in (self.left[node], self.right[node]))
+
+
+def trees_of(model, spark: SparkSession) -> list[Tree]:
+    """Node arrays of a fitted GBT model; its margin is twice the weighted sum of the trees.
+
+    The model is written to the shared folder and its node table read back: as many rows as it has nodes.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid4().hex}"
+    model.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    pdf = nodes.select("treeID", "id", "prediction", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"),
+                       F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"), F.get("impurityStats", F.lit(0)).alias("rows")).toPandas()
+    out = []
+    for tree, own in pdf.sort_values(["treeID", "id"]).groupby("treeID", sort=True):
+        rows, left, right = own["rows"].to_numpy(float), own["leftChild"].to_numpy(int), own["rightChild"].to_numpy(int)
+        share = np.ones(len(own))
+        inner = left >= 0
+        for side in (left, right):
+            share[side[inner]] = rows[side[inner]] / rows[inner]
+        value = 2.0 * model.treeWeights[int(tree)] * own["prediction"].to_numpy(float)
+        out.append(Tree(own["feature"].to_numpy(int), own["cut"].to_numpy(float), left, right, share, value))
     return out
 
 
-def base_value(tables: Sequence[LeafTable]) -> float:
-    return sum(t.expected for t in tables)
+def base_value(trees: Sequence[Tree]) -> float:
+    """The margin that no feature speaks for: shaps of a row add up to its margin less this."""
+    return sum(t.expected() for t in trees)
+
+
+def explain(x: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
+    """SHAP values of every row (row x feature)."""
+    phi = np.zeros_like(x, dtype=float)
+    for tree in trees:
+        points, weights = np.polynomial.legendre.leggauss(tree.depth() // 2 + 1)
+        t, w = (points + 1) / 2, weights / 2
+        free = (np.ones(len(x), bool), 1.0, np.ones((1, len(t))))
+
+        def below(node: int, product: np.ndarray, known: dict[int, tuple]) -> np.ndarray:
+            """Sum over the leaves below of value times product, at each quadrature point."""
+            if tree.left[node] < 0:
+                return product * tree.value[node]
+            f = int(tree.feature[node])
+            met, share, factor = known.get(f, free)
+            goes_left = x[:, f] <= tree.cut[node]
+            total = 0.0
+            for child, goes in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+                now, z = met & goes, share * tree.share[child]
+                extended = z * (1 - t) + now[:, None] * t
+                total_below = below(child, product / factor * extended, {**known, f: (now, z, extended)})
+                phi[:, f] += (now - z) * ((total_below / extended) @ w)
+                if f in known:  # these leaves' share of what the feature's split further up will count
+                    phi[:, f] -= (met - share) * ((total_below / factor) @ w)
+                total = total + total_below
+            return total
+
+        below(0, np.ones((len(x), len(t))), {})
+    return phi
 
 
 def shap_values(scored: DataFrame, row_id: str, model, features: Sequence[str]) -> DataFrame:
-    """(row, feature, value, shap) on the log-odds scale; shaps of a row add up to margin - base."""
-    tables = leaf_tables(model)
+    """(row, feature, value, shap) on the log-odds scale; shaps of a row add up to margin - base. Ids may be of any type."""
+    trees = trees_of(model, scored.sparkSession)
     names, n = list(features), len(features)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            phi = np.zeros((len(x), n))
-            for t in tables:
-                if not t.features:
-                    continue
-                v = x[:, t.features]
-                met = (v > t.low) & (v <= t.high)
-                phi[:, t.features] += t.phi[met @ (1 << np.arange(len(t.features)))]
-            yield pd.DataFrame({
-                row_id: np.repeat(pdf[row_id].to_numpy(), n), "feature": names * len(x),
-                "value": x.ravel(), "shap": phi.ravel(),
-            })
+            for first in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[first : first + ROWS_AT_ONCE]
+                x = np.stack(part["x"].to_numpy())
+                yield pd.DataFrame({
+                    row_id: np.repeat(part[row_id].to_numpy(), n), "feature": names * len(x),
+                    "value": x.ravel(), "shap": explain(x, trees).ravel(),
+                })
 
     data = scored.select(row_id, vector_to_array("features").alias("x"))
-    return data.mapInPandas(attribute, f"{row_id} long, feature string, value double, shap double")
+    kind = scored.schema[row_id].dataType.simpleString()
+    return data.mapInPandas(attribute, f"`{row_id}` {kind}, feature string, value double, shap double")
 
 
 def shap_summary(shap: DataFrame, top: int = 10) -> DataFrame:

@@ -157,11 +157,11 @@ def test_search_trains_candidates_together(design):
 
 def test_shap_adds_up_and_equals_the_definition(design):
     fit = models.boosted_trees(design, {"nrounds": 4, "max_depth": 3, "eta": 0.3})
-    tables = attribution.leaf_tables(fit.model)
+    trees = attribution.trees_of(fit.model, design.sparkSession)
     shap = attribution.shap_values(design, "row_id", fit.model, ["a", "b", "c"])
     margin = fit(design).select("row_id", F.log(F.col("p") / (1 - F.col("p"))).alias("margin"))
     off = shap.groupBy("row_id").agg(F.sum("shap").alias("s")).join(margin, "row_id")
-    gap = off.agg(F.max(F.abs(F.col("s") + attribution.base_value(tables) - F.col("margin")))).first()[0]
+    gap = off.agg(F.max(F.abs(F.col("s") + attribution.base_value(trees) - F.col("margin")))).first()[0]
     assert gap < 1e-9
 
     # one row by the definition: average over all orders of learning the features
