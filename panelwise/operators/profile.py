@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.expr import as_col
-from panelwise.operators.grouping import running_sums
 from panelwise.session import cut_lineage
 
 
@@ -55,39 +55,82 @@ def outcome_by_group(df: DataFrame, outcome: str, group: str) -> DataFrame:
 QUARTERS = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+BUCKETS = 1_024
+
+
+def exact_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], float]:
+    """The values at given 0-based ranks among the known values of each column, exactly.
+
+    Passes over the table count values in BUCKETS equal buckets of an interval for each rank, with the buckets' least and greatest
+    values, and narrow it to the bucket that holds the rank, until only one value is left in it. No pass shuffles more than
+    the buckets' counts. NaN counts as unknown.
+    """
+    found: dict[tuple[str, int], float] = {}
+    wanted = {(c, r) for c, rs in ranks.items() for r in rs}
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in ranks}
+    ends = df.agg(*[f(value[c]).alias(f"{k}{i}") for i, c in enumerate(ranks) for k, f in (("a", F.min), ("b", F.max))]).first() if ranks else None
+    # (column, low, high, values below) -> the ranks that lie there
+    spans: dict[tuple[str, float, float, int], set[int]] = {}
+    for i, c in enumerate(ranks):
+        if ends[f"a{i}"] is not None:
+            spans[c, ends[f"a{i}"], ends[f"b{i}"], 0] = set(ranks[c])
+    while spans:
+        open_ = [s for s in spans if s[1] < s[2]]
+        for c, low, _, _ in [s for s in spans if s[1] == s[2]]:
+            found.update({(c, r): low for r in spans[c, low, low, _]})
+        if not open_:
+            break
+        cells = []
+        for i, (c, low, high, _) in enumerate(open_):
+            width = high / BUCKETS - low / BUCKETS
+            slot = F.least(F.floor((value[c] - low) / width) if width > 0 else (value[c] > low).cast("long"), F.lit(BUCKETS - 1))
+            inside = value[c].between(low, high)
+            cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), slot.cast("int").alias("slot"), value[c].alias("v"))))
+        rows = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x"))
+        counts = rows.groupBy("x.i", "x.slot").agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high"))
+        old, spans = spans, {}
+        by_span: dict[int, list] = {}
+        for r in counts.collect():
+            by_span.setdefault(r.i, []).append(r)
+        for i, rows_ in by_span.items():
+            c, _, _, below = open_[i]
+            for r in sorted(rows_, key=lambda r: r.slot):
+                hits = {k for k in old[open_[i]] if below <= k < below + r.n}
+                if hits:
+                    spans.setdefault((c, r.low, r.high, below), set()).update(hits)
+                below += r.n
+    return {k: found[k] for k in wanted if k in found}
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles of the known values of each column, interpolated between neighbouring ranks; None without values."""
+    if not columns:
+        return {}
+    n = df.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first()
+    places = {c: [(n[c] - 1) * share for share in shares] for c in columns if n[c]}
+    values = exact_ranks(df, {c: sorted({f(p) for p in ps for f in (math.floor, math.ceil)}) for c, ps in places.items()})
+
+    def at(c: str, place: float) -> float:
+        low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    return {c: [at(c, p) for p in places[c]] if c in places else [None] * len(shares) for c in columns}
+
+
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Min, quartiles (interpolated), mean, max and NULL count per column.
 
-    Exact at any size: the table is read once to count values, and the counts are kept;
-    ranks come from running counts over value buckets, and only the ranks next to a
-    quartile are picked.
+    Exact at any size: one aggregate for all but the quartiles, which come from passes that narrow down to their ranks.
     """
-    long = stack_columns(df, columns, "column_name", "v")
-    counts = cut_lineage(long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
-    known = F.when(F.col("v").isNotNull(), F.col("n"))
-    basics = counts.groupBy("column_name").agg(
-        F.min("v").alias("min"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"),
-        F.max("v").alias("max"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-    )
-    counts = counts.where(F.col("v").isNotNull())
-    ranked = running_sums(counts, ["column_name"], "v", ["n"])
-    last, first = F.col("cum_n") - 1, F.col("cum_n") - F.col("n")
-    picks = []
-    for name, share in QUARTERS.items():
-        at = (F.col("tot_n") - 1) * F.lit(share)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when((first <= rank) & (rank <= last), F.col("v"))).alias(f"{name}_{side}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"{name}_frac"))
-    q = ranked.groupBy("column_name").agg(*picks)
-
-    def value(n: str) -> Column:
-        lo, hi = F.col(f"{n}_lo"), F.col(f"{n}_hi")
-        return F.round(lo + (hi - lo) * F.col(f"{n}_frac"), 6).alias(n)
-
-    return basics.join(q, "column_name", "left").select(
-        "column_name", F.round("min", 6).alias("min"), value("q1"), value("median"),
-        F.round("mean", 6).alias("mean"), value("q3"), F.round("max", 6).alias("max"), "nulls",
-    )
+    df = cut_lineage(df.select(*columns))
+    v = {c: F.col(c).cast("double") for c in columns}
+    basics = df.agg(*[e.alias(f"{k}{i}") for i, c in enumerate(columns) for k, e in (
+        ("min", F.min(v[c])), ("mean", F.avg(v[c])), ("max", F.max(v[c])), ("nulls", F.count_if(v[c].isNull())))]).first()
+    quartiles = exact_quantiles(df, columns, list(QUARTERS.values()))
+    rows = [(c, basics[f"min{i}"], *quartiles[c], basics[f"mean{i}"], basics[f"max{i}"], basics[f"nulls{i}"]) for i, c in enumerate(columns)]
+    names = ["min", *QUARTERS, "mean", "max"]
+    out = df.sparkSession.createDataFrame(rows, "column_name string, min double, q1 double, median double, q3 double, mean double, max double, nulls long")
+    return out.select("column_name", *[F.round(n, 6).alias(n) for n in names], "nulls")
 
 
 def histogram(df: DataFrame, group: str, value: str) -> DataFrame:

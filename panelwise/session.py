@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+COPIES = "copies"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for cutting lineage: the cluster's own, or a scratch one in local mode only."""
@@ -23,9 +26,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as Parquet to the shared checkpoint folder and go on from the written copy.
+
+    df is worked out once, the copy is read with column pruning and pushed filters, and a lost executor costs no
+    recomputation. Copies are deleted by ``drop_copies``, or with the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{COPIES}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_copies(spark: SparkSession) -> None:
+    """Delete the copies that this session has made; tables that still read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{COPIES}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ROWS_PER_PARTITION = 50_000
@@ -39,4 +54,5 @@ def cut_for_fitting(df: DataFrame, least: int = ROWS_PER_PARTITION) -> DataFrame
     df = cut_lineage(df)
     n = df.count()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(df.repartition(max(1, -(-n // ROWS_PER_PARTITION), min(cores, n // least))))
+    dealt = df.repartition(max(1, -(-n // ROWS_PER_PARTITION), min(cores, n // least)))
+    return dealt.checkpoint(eager=True)  # as rows: many passes would decode Parquet again and again
