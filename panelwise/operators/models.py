@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.operators.tuning import PENALTIES, Scorer, best_candidate, cross_validate, with_folds
+from panelwise.operators import l1path, svmpath
+from panelwise.operators.l1path import largest_penalty  # noqa: F401
+from panelwise.operators.replicates import damped_newton, outcome_sums
+from panelwise.operators.tuning import COSTS, PENALTIES, Scorer, best_candidate, cross_validate, with_folds
+from panelwise.session import cut_lineage
 
 PLATT_FOLDS = 5
-SVM_STEPS, SVM_TOLERANCE = 100, 1e-3
 
 
 def _risk(model) -> Scorer:
@@ -30,22 +34,10 @@ def _risk(model) -> Scorer:
 
 
 def logistic_l1(train: DataFrame, params: Mapping[str, Any]) -> Scorer:
-    lr = LogisticRegression(elasticNetParam=1.0, regParam=float(params["penalty"]), standardization=True, maxIter=100, tol=1e-6)
-    return _risk(lr.fit(train))
-
-
-def largest_penalty(train: DataFrame) -> float:
-    """Smallest L1 penalty that leaves only the intercept: one aggregate over the table."""
-    stats = train.agg(
-        Summarizer.mean(F.col("features")).alias("m"), Summarizer.std(F.col("features")).alias("s"),
-        F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n"),
-        Summarizer.mean(F.col("features"), F.col("label")).alias("m1"),
-    ).first()
-    if not 0 < stats["rate"] < 1:
-        return 0.0
-    # mean of x over events minus the overall mean, in sd units, times the event rate
-    pulls = [abs(m1 - m) / s * stats["rate"] if s else 0.0 for m1, m, s in zip(stats["m1"], stats["m"], stats["s"])]
-    return max(pulls)
+    """The fit of one penalty on all rows."""
+    (fit,), _ = l1path.fit_paths(train.withColumn("fold", F.lit(0)), [float(params["penalty"])])
+    b = fit.coefficients()
+    return linear_risk(b[0], b[1:])
 
 
 @dataclass
@@ -56,6 +48,25 @@ class Tuned:
     chosen: Mapping[str, Any]
     candidates: Sequence[Mapping[str, Any]]
     results: Sequence[Mapping[str, Any]]
+    fits: Sequence[Any] = ()
+    passes: int = 0
+
+
+def linear_risk(intercept: float, slopes: Sequence[float]) -> Scorer:
+    """Scores by a logistic model with these coefficients."""
+    b0, b = float(intercept), np.array(slopes, float)
+
+    def risk(x: pd.Series) -> pd.Series:
+        z = np.clip(b0 + np.stack(x.to_numpy()) @ b, -700, 700) if len(x) else np.empty(0)
+        return pd.Series(1 / (1 + np.exp(-z)))
+
+    udf = F.pandas_udf(risk, "double")
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.withColumn("p", udf(vector_to_array("features")))
+
+    score.intercept, score.slopes = b0, b
+    return score
 
 
 def lasso_cv(
@@ -63,64 +74,102 @@ def lasso_cv(
 ) -> Tuned:
     """L1 path by cross-validated misclassification; the largest penalty wins ties.
 
-    All penalties that leave only the intercept are one model, so one of them is fitted.
+    All penalties and folds, and the fits on all rows, are worked out together: the passes over the data are those of some Newton steps.
+    ``fits`` of the result are those by fold, then the ones on all rows.
     """
     folded = with_folds(train, row_id, folds, seed)
-    top = largest_penalty(train)
     ordered = sorted(penalties, reverse=True)
-    null = [v for v in ordered if v > 1.5 * top]
-    candidates = [{"penalty": v} for v in [*null[:1], *[v for v in ordered if v <= 1.5 * top]]]
-    results = cross_validate(folded, candidates, logistic_l1, folds)
-    chosen = candidates[best_candidate(results)]
-    return Tuned(logistic_l1(train, chosen), chosen, candidates, results)
+    fits, passes = l1path.fit_paths(folded, ordered, [*range(folds), -1])
+    inside, whole = fits[: -len(ordered)], fits[-len(ordered) :]
+    candidates = [{"penalty": v} for v in ordered]
+    results = [
+        {"candidate": i % len(ordered), "fold": f.fold, "accuracy": right / n if n else None, "n": n}
+        for i, (f, (right, n)) in enumerate(zip(inside, l1path.hits(folded, inside)))
+    ]
+    chosen = best_candidate(results)
+    b = whole[chosen].coefficients()
+    return Tuned(linear_risk(b[0], b[1:]), candidates[chosen], candidates, results, fits, passes)
 
 
 def coefficients(scorer: Scorer, features: Sequence[str], spark) -> DataFrame:
     """(feature, coef), the intercept among them: one row per predictor."""
-    model = scorer.model
-    rows = [("(Intercept)", float(model.intercept)), *zip(features, map(float, model.coefficients.toArray()))]
+    rows = [("(Intercept)", scorer.intercept), *zip(features, map(float, scorer.slopes))]
     return spark.createDataFrame(rows, "feature string, coef double")
 
 
-def _svm(train: DataFrame, cost: float) -> LinearSVC:
-    n = train.count()
-    return LinearSVC(regParam=1.0 / (n * cost), standardization=True, maxIter=SVM_STEPS, tol=SVM_TOLERANCE).fit(train)
+def linear_margin(intercept: float, slopes: Sequence[float]) -> Column:
+    """The margin of ``features`` under these coefficients."""
+    b0, b = float(intercept), np.array(slopes, float)
 
+    def margin(x: pd.Series) -> pd.Series:
+        return pd.Series(b0 + np.stack(x.to_numpy()) @ b if len(x) else np.empty(0))
 
-def _margin(model, df: DataFrame) -> DataFrame:
-    m = model.setRawPredictionCol("_raw").setPredictionCol("_pred").transform(df)
-    return m.withColumn("margin", vector_to_array("_raw")[1]).drop("_raw", "_pred")
+    return F.pandas_udf(margin, "double")(vector_to_array("features"))
 
 
-def linear_svm(train: DataFrame, params: Mapping[str, Any]) -> Scorer:
-    """Linear SVM of a given cost; p is the class, 0 or 1."""
-    model = _svm(train, params["cost"])
+def _machine(fit: svmpath.Machine) -> Scorer:
+    b = fit.coefficients()
 
     def score(df: DataFrame) -> DataFrame:
-        return _margin(model, df).withColumn("p", (F.col("margin") >= 0).cast("double"))
+        return df.withColumn("margin", linear_margin(b[0], b[1:])).withColumn("p", (F.col("margin") >= 0).cast("double"))
 
-    score.model = model
+    score.intercept, score.slopes = b[0], b[1:]
     return score
 
 
-def platt_svm(train: DataFrame, row_id: str, cost: float, folds: int = PLATT_FOLDS, seed: int = 1) -> Scorer:
-    """Linear SVM with a sigmoid from margin to probability, fitted on out-of-fold margins."""
+def linear_svm(train: DataFrame, params: Mapping[str, Any]) -> Scorer:
+    """Linear SVM of a given cost; p is the class, 0 or 1."""
+    (fit,), _ = svmpath.fit_machines(train.withColumn("fold", F.lit(0)), [float(params["cost"])])
+    return _machine(fit)
+
+
+def svm_cv(train: DataFrame, row_id: str, costs: Sequence[float] = COSTS, folds: int = 10, seed: int = 1) -> Tuned:
+    """Costs by cross-validated accuracy, the first listed on ties: all costs and folds, and the fits on all rows, are worked out together."""
     folded = with_folds(train, row_id, folds, seed)
-    outside = [
-        _margin(_svm(folded.where(F.col("fold") != f), cost), folded.where(F.col("fold") == f)).select("label", "margin")
-        for f in range(folds)
+    fits, passes = svmpath.fit_machines(folded, costs, [*range(folds), -1])
+    inside, whole = fits[: -len(costs)], fits[-len(costs) :]
+    results = [
+        {"candidate": i % len(costs), "fold": f.fold, "accuracy": right / n if n else None, "n": n}
+        for i, (f, (right, n)) in enumerate(zip(inside, l1path.hits(folded, inside)))
     ]
-    one = VectorAssembler(inputCols=["margin"], outputCol="_m")
-    sigmoid = LogisticRegression(featuresCol="_m", predictionCol="_pred", rawPredictionCol="_raw2").fit(
-        one.transform(reduce(DataFrame.unionByName, outside))
-    )
-    model = _svm(train, cost)
+    candidates = [{"cost": c} for c in costs]
+    chosen = best_candidate(results)
+    return Tuned(_machine(whole[chosen]), candidates[chosen], candidates, results, fits, passes)
+
+
+def platt_sigmoid(margins: DataFrame) -> tuple[float, float]:
+    """(intercept, slope) of the probability of label 1 by margin, from (label, margin).
+
+    Labels are smoothed: an event counts as (n1 + 1) / (n1 + 2) of one, a non-event as 1 / (n0 + 2). Without a finite optimum the
+    probability is that of the smoothed labels at any margin.
+    """
+    n1, n = margins.agg(F.sum("label"), F.count(F.lit(1))).first()
+    n1 = n1 or 0.0
+    high, low = (n1 + 1) / (n1 + 2), 1 / (n - n1 + 2)
+    target = F.when(F.col("label") == 1, F.lit(high)).otherwise(F.lit(low))
+    d = cut_lineage(margins.select(F.lit(1).alias("k"), F.col("margin").alias("z"), target.alias("n1"), (1 - target).alias("n0")))
+    start = margins.sparkSession.createDataFrame([(1, float(n), 0.0, 0.0)], "k int, n double, a double, b double")
+    fit = damped_newton(start, ["k"], "n", outcome_sums(d, ["k"])).first()
+    if fit["converged"]:
+        return fit["intercept"], fit["slope"]
+    rate = (n1 * high + (n - n1) * low) / n if n else 0.5
+    return math.log(rate / (1 - rate)), 0.0
+
+
+def platt_svm(train: DataFrame, row_id: str, cost: float, folds: int = PLATT_FOLDS, seed: int = 1) -> Scorer:
+    """Linear SVM with a sigmoid from margin to probability, fitted on out-of-fold margins; all fits are worked out together."""
+    folded = with_folds(train, row_id, folds, seed)
+    fits, _ = svmpath.fit_machines(folded, [cost], [*range(folds), -1])
+    outside = reduce(DataFrame.unionByName, [
+        _machine(f)(folded.where(F.col("fold") == f.fold)).select("label", "margin") for f in fits[:-1]])
+    a, b = platt_sigmoid(outside)
+    machine = _machine(fits[-1])
 
     def score(df: DataFrame) -> DataFrame:
-        scored = sigmoid.transform(one.transform(_margin(model, df)))
-        return scored.select(*df.columns, "margin", vector_to_array("probability")[1].alias("p"))
+        z = F.lit(a) + F.lit(b) * F.col("margin")
+        return machine(df).withColumn("p", 1 / (1 + F.exp(-z)))
 
-    score.model = model
+    score.sigmoid = a, b
     return score
 
 

@@ -8,7 +8,7 @@ every metric.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.expr import as_col
 from panelwise.operators import replicates as replicates_
 from panelwise.operators.grouping import running_sums, value_cuts
-from panelwise.operators.replicates import SMALLEST_P, damped_newton
+from panelwise.operators.replicates import SMALLEST_P, damped_newton, outcome_sums
 from panelwise.operators.sampling import check_method
 from panelwise.session import cut_lineage
 
@@ -101,22 +101,6 @@ def nagelkerke_r2(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return d.select(*by, _explained(F.col("_e"), F.col("_o"), F.col("_l")).alias("r2"))
 
 
-def _recalibration_sums(scores: DataFrame, keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    """For (keys, a, b) the loss of the outcome's logistic model a + b * logit(p) and its derivatives, of all groups in one aggregate."""
-    p = f"least(greatest(p, {SMALLEST_P}D), 1D - {SMALLEST_P}D)"
-    d = cut_lineage(scores.selectExpr(*keys, f"ln({p} / (1 - {p})) AS z", "n1", "n0"))
-
-    def evaluate(trial: DataFrame) -> DataFrame:
-        risk = d.join(trial, list(keys)).selectExpr(*keys, "z", "n1", "n0", "a + b * z AS x", "1 / (1 + exp(-(a + b * z))) AS mu")
-        parts = risk.selectExpr(
-            *keys, "z", "n1 * greatest(-x, 0) + n0 * greatest(x, 0) + (n1 + n0) * log1p(exp(-abs(x))) AS l",
-            "(n1 + n0) * mu * (1 - mu) AS v", "n1 - (n1 + n0) * mu AS r")
-        return parts.groupBy(*keys).agg(*map(F.expr, (
-            "sum(l) AS loss", "sum(r) AS g0", "sum(r * z) AS g1", "sum(v) AS s0", "sum(v * z) AS s1", "sum(v * z * z) AS s2")))
-
-    return evaluate
-
-
 def calibration_slope(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, intercept, slope, converged) of the outcome on logit(p), all groups at once, by damped Newton steps.
 
@@ -124,7 +108,9 @@ def calibration_slope(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     score only, have no slope: it is NULL and ``converged`` false.
     """
     start = scores.groupBy(*by).agg(F.sum(F.col("n1") + F.col("n0")).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    return damped_newton(start, by, "n", _recalibration_sums(scores, by))
+    p = f"least(greatest(p, {SMALLEST_P}D), 1D - {SMALLEST_P}D)"
+    d = cut_lineage(scores.selectExpr(*by, f"ln({p} / (1 - {p})) AS z", "n1", "n0"))
+    return damped_newton(start, by, "n", outcome_sums(d, by))
 
 
 def recalibrated(scores: DataFrame, by: Sequence[str]) -> DataFrame:

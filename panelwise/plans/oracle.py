@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from panelwise.plans import prep_oracle, score_oracle, train_oracle
+from panelwise.plans import model_oracle, prep_oracle, score_oracle, train_oracle
 
-ORACLE = {**prep_oracle.ORACLE, **score_oracle.ORACLE, **train_oracle.ORACLE}
+ORACLE = {**prep_oracle.ORACLE, **score_oracle.ORACLE, **train_oracle.ORACLE, **model_oracle.ORACLE}

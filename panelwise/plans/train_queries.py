@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,18 +35,27 @@ def stack_imputations(spark: SparkSession, d: str) -> DataFrame:
 
 def forest_impute(spark: SparkSession, d: str) -> DataFrame:
     t = recoded(train_missing(spark, d))
-    return impute.forest_impute(
-        t, "row_id", NUMERIC, [*CATEGORICAL, "y"], max_iter=3, trees=20, seed=100
-    ).select("row_id", *NUMERIC, *CATEGORICAL, "y")
+    return impute.forest_impute(t, "row_id", NUMERIC, [*CATEGORICAL, "y"], seed=100).select("row_id", *NUMERIC, *CATEGORICAL, "y")
+
+
+def forest_impute_check(spark: SparkSession, d: str) -> DataFrame:
+    """Known cells as they were; of the gaps, whether they are filled with something the column allows."""
+    gaps = recoded(train_missing(spark, d)).select("row_id", *[F.col(c).alias(f"was_{c}") for c in ("fa", "bmi", "education")])
+    ends = gaps.agg(*[f(f"was_{c}").alias(f"{k}_{c}") for c in ("fa", "bmi") for k, f in (("low", F.min), ("high", F.max))]).first()
+    d_ = forest_impute(spark, d).join(gaps, "row_id")
+    fits = [F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]) for c in ("fa", "bmi")] + [F.col("education").isin(1, 2, 3, 5, 98)]
+    kept = [F.when(F.col(f"was_{c}").isNotNull(), F.round(c, 6)).alias(c) for c in ("fa", "bmi")]
+    kept.append(F.when(F.col("was_education").isNotNull(), F.col("education")).alias("education"))
+    return d_.select("row_id", *kept, reduce(lambda a, b: a & b, fits).alias("filled"))
 
 
 def multiple_impute(spark: SparkSession, d: str) -> DataFrame:
     t = recoded(train_missing(spark, d))
 
     def one(seed: int) -> DataFrame:
-        return impute.forest_impute(t, "row_id", NUMERIC, [*CATEGORICAL, "y"], max_iter=2, trees=10, seed=seed)
+        return impute.forest_impute(t, "row_id", NUMERIC, [*CATEGORICAL, "y"], seed=seed)
 
-    return impute.multiple_impute(one, runs=3).select("imp", "row_id", *NUMERIC, *CATEGORICAL, "y")
+    return impute.multiple_impute(one).select("imp", "row_id", *NUMERIC, *CATEGORICAL, "y")
 
 
 def minority_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +77,6 @@ def one_hot(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sample_impute, stack_imputations, minority_knn, smote, one_hot, forest_impute, multiple_impute,
+        sample_impute, stack_imputations, minority_knn, smote, one_hot, forest_impute, multiple_impute, forest_impute_check,
     )
 }

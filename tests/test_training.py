@@ -110,12 +110,12 @@ def share_right(scored):
 
 def test_lasso_path(design, spark):
     top = models.largest_penalty(design)
-    flat = models.logistic_l1(design, {"penalty": top * 1.02}).model.coefficients
-    some = models.logistic_l1(design, {"penalty": top * 0.9}).model.coefficients
-    assert not np.any(flat.toArray()) and np.any(some.toArray())
+    flat = models.logistic_l1(design, {"penalty": top * 1.02}).slopes
+    some = models.logistic_l1(design, {"penalty": top * 0.9}).slopes
+    assert not np.any(flat) and np.any(some)
     tuned = models.lasso_cv(design, "row_id", [1e10, 1.0, 0.1, 0.01], folds=3)
     assert tuned.chosen["penalty"] < 1 and share_right(tuned.scorer(design)) > 0.75
-    assert sum(c["penalty"] > top for c in tuned.candidates) == 1  # one stands for all that fit the intercept only
+    assert [c["penalty"] for c in tuned.candidates] == [1e10, 1.0, 0.1, 0.01] and len(tuned.results) == 12
     coef = {r["feature"]: r["coef"] for r in models.coefficients(tuned.scorer, ["a", "b", "c"], spark).collect()}
     assert coef["a"] > 0 > coef["b"]
 
