@@ -114,7 +114,9 @@ raw AS (
     CAST(CASE WHEN k % 3 = 1 THEN NULL ELSE k % 2 END AS INT) AS under_treatment,
     CAST(CASE WHEN c % 2 = 0 THEN NULL ELSE 1 + k % 4 END AS INT) AS stage_tnm,
     CAST(CASE WHEN c % 2 = 0 THEN 1 + k % 4 ELSE NULL END AS INT) AS stage_annarbor,
-    CAST(1 + c % 8 AS INT) AS tumortype, CAST(k % 2 AS INT) AS radiotherapy,
+    CAST(1 + c % 8 AS INT) AS tumortype, CAST(k % 2 AS INT) AS radiotherapy, CAST(1 + c % 2 AS INT) AS sex,
+    CAST(CASE WHEN k % 11 = 0 THEN NULL ELSE k % 2 END AS INT) AS surgery,
+    CAST(CASE WHEN k % 12 = 0 THEN NULL ELSE c % 2 END AS INT) AS systemic,
     {_FA} AS fa,
     CASE WHEN k % 19 = 0 THEN 999::DOUBLE ELSE price / 6000 END AS sf,
     CASE WHEN k % 29 = 0 THEN 999::DOUBLE ELSE price / 7000 END AS fi,

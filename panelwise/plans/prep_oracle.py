@@ -152,8 +152,9 @@ ORACLE = {
         round(time_diagnosis, 6) AS time_diagnosis, time_dx_end_treatment_days, age_diagnosis, age_questionnaire,
         under_treatment, education, partner, smoking, alcoholuse FROM harmonised""",
     "model_table": f"""WITH {MODEL_TABLE} SELECT source, participant_id, wave,
-        CASE WHEN tumortype = 8 THEN 7 ELSE tumortype END AS tumortype, stage, radiotherapy, round(bmi, 6) AS bmi,
-        round(fa, 6) AS fa, round(time_dx_days, 6) AS time_dx_days, time_dx_start_treatment_days, under_treatment,
+        CASE WHEN tumortype = 8 THEN 7 ELSE tumortype END AS tumortype, stage, radiotherapy, surgery, systemic, sex, round(bmi, 6) AS bmi,
+        {', '.join(f'round(fa, 6) AS {s}' for s in ('ql', 'pf', 'rf', 'ef', 'cf', 'fa', 'nv', 'pa', 'dy', 'sl', 'ap', 'co', 'di'))},
+        round(sf, 6) AS sf, round(fi, 6) AS fi, age_diagnosis, round(time_dx_days, 6) AS time_dx_days, time_dx_start_treatment_days, under_treatment,
         age_questionnaire, education, partner, smoking, alcoholuse, fa_cat_end
         FROM treated WHERE under_treatment IS NOT NULL AND stage <> 4""",
     "baseline_endpoint": clean(f"""SELECT b.source, b.participant_id, b.row_id, b.stage, b.tumortype,

@@ -261,7 +261,8 @@ def harmonise_cohorts(spark: SparkSession, d: str) -> DataFrame:
 def model_table(spark: SparkSession, d: str) -> DataFrame:
     t = study.prepare_study(study_panel(spark, d))
     return t.select(
-        "source", "participant_id", "wave", "tumortype", "stage", "radiotherapy", _r("bmi"), _r("fa"),
+        "source", "participant_id", "wave", "tumortype", "stage", "radiotherapy", "surgery", "systemic", "sex", _r("bmi"),
+        *[_r(s) for s in study.SCALES], "age_diagnosis",
         _r("time_dx_days"), "time_dx_start_treatment_days", "under_treatment", "age_questionnaire",
         "education", "partner", "smoking", "alcoholuse", "fa_cat_end",
     )

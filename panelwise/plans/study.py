@@ -139,10 +139,12 @@ def follow_up(df: DataFrame, o: Options = Options()) -> DataFrame:
     return study_window(df, o.elapsed, o.first_visit)
 
 
+# All baseline columns that are predictors, the scales of the questionnaire among them.
+SCALES = list(QUESTIONNAIRE_SCALES)
 PREDICTORS = [
-    "wave", "tumortype", "stage", "radiotherapy", "bmi", "fa", "time_dx_days",
+    "wave", "tumortype", "stage", "radiotherapy", "surgery", "systemic", "bmi", "sex", *SCALES, "time_dx_days",
     "time_dx_start_treatment_days", "time_dx_end_treatment_days", "under_treatment",
-    "age_questionnaire", "education", "partner", "smoking", "alcoholuse",
+    "age_diagnosis", "age_questionnaire", "education", "partner", "smoking", "alcoholuse",
 ]
 
 
