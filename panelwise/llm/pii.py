@@ -58,12 +58,16 @@ DENIALS = r"(?i)(?:version|isbn|doi|order|page|chapter|section|commit|sha1?|md5|
 CONTEXT = 24
 SURE = 0.9
 ROUNDS = 60
+PIECE = 128
 EXAMPLE = "array<struct<start:int,k:int,stop:int,valid:boolean,hit:string>>"
 VOTES = ["regex", "gazetteer", "context"]
 
 
 def located(text: Column, pattern: str) -> Column:
-    """(start, stop, hit) of all leftmost matches: what lies between them gives the positions."""
+    """(start, stop, hit) of all leftmost matches: what lies between them gives the positions.
+
+    Positions are added up in pieces of PIECE matches, as adding to one long list copies it each time.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
@@ -74,7 +78,18 @@ def located(text: Column, pattern: str) -> Column:
         stop = start + F.length(p["hit"])
         return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), p["hit"].alias("hit")))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)["out"]
+    def piece(state: Column, part: Column) -> Column:
+        found = F.aggregate(part, F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        width = F.aggregate(part, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["hit"]))
+        return F.struct((state["at"] + width).alias("at"), F.concat(state["out"], F.array(found["out"])).alias("out"))
+
+    def walked(pairs: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PIECE).cast("int"))
+        parts = F.transform(ends, lambda i: F.slice(pairs, i * PIECE + 1, F.lit(PIECE)))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), piece)["out"])
+
+    # a list of one, so that the pairs are worked out once and not for each piece
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, walked(p)).otherwise(F.array().cast(kind))))
 
 
 def luhn(digits: Column) -> Column:
@@ -260,7 +275,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     slim = stored(candidates(docs.select("text")).select("_base", "_wide"))
-    rows = spans(candidates(docs), fit(slim))
+    # the row travels as one column, so that none of its columns can be in the way
+    rows = spans(candidates(docs.select(F.struct("*").alias("row"), "text")), fit(slim))
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(state: Column, s: Column) -> Column:
@@ -275,5 +291,5 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_text", F.concat(F.array_join("_done.out", ""), rest))
     new = {"text": F.coalesce("_text", "text")}
     if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in names])

@@ -78,3 +78,26 @@ def test_tokens_are_judged_by_their_whole_length(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")
     got = docs.select("i", F.transform(pii.wide_matches(F.col("text")), lambda m: m["hit"]).alias("hits")).collect()
     assert {r.i: r.hits for r in got} == {i: hits for i, (_, hits) in enumerate(texts)}
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ["spans", "base", "_text", "_done", "_base", "_wide", "row", "at"]
+    rows = [(1, "write to me@x.org now", *names), (2, "nothing", *names), (None, None, *names)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)))
+    assert got.columns == ["doc_id", "text", *names]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "write to <EMAIL> now", *names), *rows[1:]], key=str)
+
+
+def test_many_hits_in_one_text(spark):
+    import time
+
+    parts = [f"x{i % 7} 10.{i % 200}.3.{i % 250}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(parts), "en", "a", 1), (2, parts[0], "en", "a", 1)], DOCS)
+    start = time.time()
+    got = {r.doc_id: r.base for r in pii.detect(docs).collect()}
+    assert time.time() - start < 60
+    at, want = 0, []
+    for p in parts:
+        want.append((at + p.index(" ") + 1, at + len(p)))
+        at += len(p) + 1
+    assert [(b.start, b.stop) for b in got[1]] == want and len(got[2]) == 1
