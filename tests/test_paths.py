@@ -89,10 +89,11 @@ def test_machines_are_near_the_optimum(train, data, cost):
     assert found <= best * 1.002
 
 
-def test_ten_costs_on_ten_folds_take_the_passes_of_one_fit(train):
-    one = max(svmpath.fit_machines(tuning.with_folds(train, "row_id", 10), [c])[1] for c in (tuning.COSTS[0], tuning.COSTS[-1]))
+def test_ten_costs_on_ten_folds_take_the_passes_of_the_slowest_fit(train):
+    folded = tuning.with_folds(train, "row_id", 10)
+    slowest = max(svmpath.fit_machines(folded, [c], [*range(10), -1])[1] for c in (tuning.COSTS[0], tuning.COSTS[-1]))
     tuned = models.svm_cv(train, "row_id")
-    assert tuned.passes <= one + 12 and len(tuned.results) == 100 and len(tuned.fits) == 110
+    assert tuned.passes <= slowest + 5 and len(tuned.results) == 100 and len(tuned.fits) == 110
     assert tuning.mean_accuracy(tuned.results)[tuned.candidates.index(tuned.chosen)] > 0.7
 
 
