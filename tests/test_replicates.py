@@ -157,3 +157,24 @@ def test_user_statistic_merges_parts(spark):
         for r in got:
             p = [x[3] for x in drawn(table, r.imp, r.replicate, 6, unit, key)]
             assert r.top == max(p) and r["mean"] == pytest.approx(sum(p) / len(p))
+
+
+@pytest.mark.parametrize(("unit", "pack"), [(4, 20), (7, 14), (3, 1000)])
+def test_packs_and_blocks_of_draws_do_not_matter(spark, monkeypatch, unit, pack):
+    """Small units travel together, each with its own draws."""
+    monkeypatch.setattr(replicates, "PACK", pack)
+    monkeypatch.setattr(replicates, "BLOCK", 16)
+    table = rows(random.Random(unit), 60, [i / 30 for i in range(30)])
+    got = validate.bootstrap_classification(spark.createDataFrame(table, SCORED), ["imp"], "row_id", 35, 5, "exact", unit).collect()
+    assert len(got) == 70
+    for r in got:
+        assert r.accuracy == pytest.approx(plain_metrics(drawn(table, r.imp, r.replicate, 5, unit))[0])
+
+
+def test_small_units_return_no_more_than_large_ones(spark):
+    """Neither sums nor counts of draws are made by pairs of units."""
+    df = spark.range(20_000).selectExpr("1 AS imp", "id AS row_id", "int(id % 3 = 0) AS y", "(id * 7919 % 20011) / 20011D AS p")
+    made = replicates.work(df, ["imp"], "row_id", 64, 1, "exact", 16, None, 4096)
+    assert replicates.replicate_sums(made, ["imp"], 64, 1).count() == 5 * 3 * 64
+    units = replicates.exact_units(df.selectExpr("imp", "p", "y AS n1", "1 - y AS n0"), ["imp"], 4096)
+    assert replicates.unit_counts(units, ["imp"], 64, 1, 16, 4096).count() == 5 * 2
