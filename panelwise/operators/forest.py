@@ -3,7 +3,8 @@
 Rows lie in blocks, by dense position; a row's weight in a tree is a Poisson(1) count hashed from seed, tree and position, so any
 task can tell the rows a tree has not seen. Columns are cut into at most ``BINS`` bins. A level of all trees is grown
 from sums by (tree, node, column, bin): tasks add up a block for some trees, the sums are added by tree, and the best split of
-each node goes to the driver. A table of one block needs no such rounds: tasks grow whole trees.
+each node goes to the driver. A table of at most ``WHOLE_BLOCKS`` blocks needs no such rounds: a task gathers them, a few bytes a row, and grows
+whole trees.
 
 All sums are of whole numbers (targets are scaled to them), so that neither partitions nor order show in a forest.
 The driver holds the trees: at most 2^(depth + 1) nodes each.
@@ -11,6 +12,7 @@ The driver holds the trees: at most 2^(depth + 1) nodes each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.functions.hashing import POISSON_1_CDF, mix_seed, mix_step, mix_uniform
+from panelwise.functions.hashing import MASK_32, POISSON_1_CDF, TWO_32, mix_bits, mix_seed, mix_step
 
 BINS = 64
 BLOCK = 65_536
+#: Blocks that a task gathers at most (a million rows, whatever the table's size).
+WHOLE_BLOCKS = 16
+#: The least 32-bit numbers that stand for 1, 2, ... draws.
+POISSON_STEPS = [math.ceil(c * TWO_32) for c in POISSON_1_CDF]
 #: Numeric targets become whole numbers from 0 to this.
 TARGET_STEPS = 1 << 20
 
@@ -39,8 +45,9 @@ class Trees:
 
 def bag(seed: int, tree: int, positions: np.ndarray) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    state = mix_step(mix_seed(seed), tree, 0)
-    return np.searchsorted(POISSON_1_CDF, mix_uniform(mix_step(np.uint64(state), positions.astype(np.uint64), 1)), "right")
+    at = positions.astype(np.uint64)
+    bits = mix_bits(mix_step(mix_seed(seed), tree, 0), ((at ^ (at >> np.uint64(32))) & np.uint64(MASK_32)).astype(np.uint32), 1)
+    return sum((bits >= np.uint32(step)).astype(np.int64) for step in POISSON_STEPS if step < TWO_32)
 
 
 def _offered(seed: int, tree: int, nodes: np.ndarray, features: int, tried: int) -> np.ndarray:
@@ -55,15 +62,22 @@ def level_sums(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, slot:
     use = np.flatnonzero((slot >= 0) & (weight > 0))
     slots, tried = offered.shape
     k = target.shape[1]
-    out = np.zeros((slots * tried * bins, k + 1), np.int64)
+    out = np.empty((slots, tried, bins, k + 1), np.int64)
+    slot, weight = slot[use], weight[use].astype(float)
+    values = [weight, *(weight * target[use, c] for c in range(k))]
     for j in range(tried):
-        cell = (slot[use] * tried + j) * bins + codes[use, offered[slot[use], j]]
-        order = np.argsort(cell, kind="stable")
-        values = np.column_stack([weight[use], target[use] * weight[use, None]])[order]
-        at = np.flatnonzero(np.diff(cell[order], prepend=-1))
-        if len(at):
-            out[cell[order][at]] += np.add.reduceat(values, at)
-    return out.reshape(slots, tried, bins, k + 1)
+        cell = slot * bins + codes[use, offered[:, j][slot]]
+        for c, v in enumerate(values):  # whole numbers below 2 ** 53
+            out[:, j, :, c] = np.bincount(cell, v, slots * bins).reshape(slots, bins)
+    return out
+
+
+def level_totals(target: np.ndarray, weight: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
+    """Sums (slot x (weight, targets)) of the rows whose node is open."""
+    use = slot >= 0
+    weight = weight[use].astype(float)
+    values = [weight, *(weight * target[use, c] for c in range(target.shape[1]))]
+    return np.column_stack([np.bincount(slot[use], v, slots) for v in values]).astype(np.int64)
 
 
 def best_splits(sums: np.ndarray, offered: np.ndarray, smallest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,15 +133,37 @@ class Growing:
 def descend(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     node, rows = np.zeros(len(codes), int), np.arange(len(codes))
     for _ in range(depth):
-        f = feature[node]
+        at = node[rows]
+        f = feature[at]
         inner = f >= 0
-        if not inner.any():
+        if not inner.all():
+            rows, at, f = rows[inner], at[inner], f[inner]
+        if not len(rows):
             break
-        goes_right = codes[rows, np.maximum(f, 0)] > cut[node]
-        node = np.where(inner, left[node] + goes_right, node)
+        node[rows] = left[at] + (codes[rows, f] > cut[at])
     return node
 
 
+def whole_tree(tree: Growing, at: np.ndarray, codes: np.ndarray, target: np.ndarray, known: np.ndarray, bins: int) -> None:
+    """Grow all levels; rows stay with their nodes from level to level."""
+    weight = bag(tree.seed, tree.tree, at) * known
+    use = np.flatnonzero(weight)
+    codes, target, weight, slot = codes[use], target[use], weight[use], np.zeros(len(use), int)
+    while len(tree.open):
+        if tree.level == tree.depth:
+            none = np.full(len(tree.open), -1)
+            tree.split(none, none, level_totals(target, weight, slot, len(tree.open)))
+            break
+        offered = tree.offered()
+        column, cut, total = best_splits(level_sums(codes, target, weight, slot, offered, bins), offered, tree.smallest)
+        tree.split(column, cut, total)
+        inner = column >= 0
+        stays = inner[slot]
+        if not stays.all():
+            codes, target, weight, slot = codes[stays], target[stays], weight[stays], slot[stays]
+        slot = 2 * (np.cumsum(inner) - 1)[slot] + (codes[np.arange(len(slot)), column[slot]] > cut[slot])
+
+
 def _row(batch: pa.RecordBatch, features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(positions, codes, targets, known) of each block in a batch."""
     for at, codes, target, known in zip(*(batch.column(c) for c in ("at", "codes", "target", "known"))):
@@ -145,7 +181,8 @@ def grow(
     n_blocks = blocks.count() if n_blocks is None else n_blocks
     cores = blocks.sparkSession.sparkContext.defaultParallelism
     # Few blocks are dealt to tasks once for each group of trees; many stay where they are and see all trees.
-    parallel = trees if n_blocks >= cores else -(-trees * max(n_blocks, 1) // (2 * cores))
+    whole_ = n_blocks <= WHOLE_BLOCKS
+    parallel = -(-trees // (2 * cores)) if whole_ else trees if n_blocks >= cores else -(-trees * n_blocks // (2 * cores))
     groups = [list(range(i, min(i + parallel, trees))) for i in range(0, trees, parallel)]
     made = [Growing(seed, t, features, tried, depth, smallest) for t in range(trees)]
     dealt = blocks.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(groups))])).alias("group"))
@@ -154,19 +191,28 @@ def grow(
 
     def sums_of(tree: Growing, rows: tuple) -> np.ndarray:
         at, codes, target, known = rows
-        return level_sums(codes[known], target[known], bag(seed, tree.tree, at[known]), tree.slots(codes[known]), tree.offered(), bins)
-
-    if n_blocks <= 1:
+        weight, slot, offered = bag(seed, tree.tree, at[known]), tree.slots(codes[known]), tree.offered()
+        if tree.level < depth:
+            return level_sums(codes[known], target[known], weight, slot, offered, bins)
+        last = np.zeros((*offered.shape, bins, target.shape[1] + 1), np.int64)
+        last[:, 0, 0] = level_totals(target[known], weight, slot, len(offered))  # leaves need no cuts
+        return last
+
+    if whole_:
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, held = [], []
             for batch in batches:
                 for rows, group in zip(_row(batch, features), batch.column("group").to_pylist()):
-                    for t in groups[group]:
-                        tree = Growing(seed, t, features, tried, depth, smallest)
-                        while len(tree.open):
-                            tree.split(*best_splits(sums_of(tree, rows), tree.offered(), smallest))
-                        f, c, left = (pa.array([x], pa.list_(pa.int32())) for x in tree.arrays())
-                        value = pa.array([np.concatenate(tree.value)], pa.list_(pa.float64()))
-                        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), f, c, left, value], ["tree", "f", "c", "l", "v"])
+                    own += [group] if group not in own else []
+                    if group == own[0]:  # all groups have the same blocks
+                        held.append(rows)
+            rows = [np.concatenate(part) for part in zip(*held)]
+            for t in (t for group in own for t in groups[group]):
+                tree = Growing(seed, t, features, tried, depth, smallest)
+                whole_tree(tree, *rows, bins)
+                f, c, left = (pa.array([x], pa.list_(pa.int32())) for x in tree.arrays())
+                value = pa.array([np.concatenate(tree.value)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), f, c, left, value], ["tree", "f", "c", "l", "v"])
 
         found = dealt.mapInArrow(whole, "tree int, f array<int>, c array<int>, l array<int>, v array<double>").collect()
         ordered = sorted(found, key=lambda r: r.tree)
@@ -224,10 +270,9 @@ def predict(forest: Trees, codes: np.ndarray, at: np.ndarray | None = None, seed
     total = np.zeros((len(codes), forest.value[0].shape[1] if forest.value else 1))
     spoke = np.zeros(len(codes), np.int64)
     for t in range(len(forest.feature)):
-        found = forest.value[t][descend(codes, forest.feature[t], forest.cut[t], forest.left[t], depth)]
-        use = bag(seed, t, at) == 0 if at is not None else np.ones(len(codes), bool)
-        total += found * use[:, None]
-        spoke += use
+        use = np.flatnonzero(bag(seed, t, at) == 0) if at is not None else slice(None)
+        total[use] += forest.value[t][descend(codes[use], forest.feature[t], forest.cut[t], forest.left[t], depth)]
+        spoke[use] += 1
     return total / np.maximum(spoke, 1)[:, None], spoke
 
 

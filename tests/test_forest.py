@@ -127,3 +127,20 @@ def test_exact_quantiles(spark):
             places = [(len(known) - 1) * s for s in shares]
             assert got[c] == [ordered[int(p)] + (ordered[int(np.ceil(p))] - ordered[int(p)]) * (p - int(p)) for p in places]
     assert df.select(F.col("x")).count() == 3000 and profile.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_whole_trees_equal_those_of_level_rounds_without_their_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    codes, known = rng.integers(0, 64, (300, 4)).astype(np.uint8), rng.random(300) < 0.9
+    target = (rng.integers(0, 3, 300)[:, None] == np.arange(3)).astype(np.int64)
+    made = []
+    for most in (16, 1):
+        monkeypatch.setattr(forest, "WHOLE_BLOCKS", most)
+        blocks = blocks_of(spark, codes, target, known, 70)
+        spark.sparkContext.setJobGroup(f"forest-{most}", "")
+        made.append(forest.grow(blocks, 4, 5, 3, 6, 1, 2))
+        made[-1].jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{most}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for name in ("feature", "cut", "left", "value"):
+        assert all(np.array_equal(a, b) for a, b in zip(getattr(made[0], name), getattr(made[1], name)))
+    assert made[0].jobs < 6 < made[1].jobs
