@@ -4,13 +4,14 @@ Candidates share one of ``BANDS`` bands of ``ROWS`` minima (MinHash) of their fi
 found with probability 1 - (1 - s ** ROWS) ** BANDS, that is 0.9996 at 0.8. Every candidate pair is checked with the
 hashes of all its shingles; linked texts are connected to classes by the rounds of ``simhash.connected``.
 
-Equal texts are one point. Bands of more than ``BAND_ROWS`` points (a large family, or texts that share a passage) are not paired, yet
+Equal texts are one point. Bands of more than ``BAND_ROWS`` points (a family, or texts that share a passage) are not paired, yet
 whatever all their pairs would connect is connected:
 
 * In ``ROUNDS`` rounds the members of each such band that are not in the class of the band's pivot are checked against it. The
   next round's pivot is of another class. A band whose members are all of one class is done.
 * Members of the bands that are left are joined by prefixes: of two similar sets, the first fifths in an order from rare to
-  common shingles share one, and a passage that many texts hold is common. Only texts of different classes are paired.
+  common shingles share one, and a passage that many texts hold is common. Only texts of different classes are paired, and only
+  where enough shingles follow the shared one: from the first that two sets share on, there are at least as many as they share.
 
 Texts without words are one class. NULL ids, repeats and the row that stays are those of ``simhash.keep_one``.
 """
@@ -32,7 +33,7 @@ SHINGLE = 5
 SEED = 42
 BANDS = 20
 ROWS = 5
-BAND_ROWS = 128
+BAND_ROWS = 8
 ROUNDS = 2
 BLOCK = 4096
 #: Similarity that links, in tenths.
@@ -113,14 +114,16 @@ def _prefix_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     ordered = each.join(often, "hash").groupBy("content", "root", "n").agg(listed.alias("shared"))
     # Shingles of one text only come first and are in no other prefix: the prefix of the shared ones is shorter by their number.
     length = F.col("n") - F.ceil(F.col("n") * TENTHS / 10) + 1 - (F.col("n") - F.size("shared"))
-    first = stored(ordered.where(length > 0).select("content", "root", "n", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("s"))
-                   .select("content", "root", "n", F.col("s.hash").alias("hash")))
+    first = ordered.where(length > 0).select("content", "root", "n", F.size("shared").alias("all"),
+                                             F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("at", "s"))
+    first = stored(first.select("content", "root", "n", (F.col("all") - F.col("at")).alias("rest"), F.col("s.hash").alias("hash")))
     # Of each shingle's texts those outside its most frequent class meet all others: a family does not meet itself.
     classes = first.groupBy("hash", "root").agg(F.count("*").alias("size"))
     top = classes.groupBy("hash").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     mixed = stored(first.join(top.select("hash", F.col("top.root").alias("most")), "hash"))
     x, y = mixed.where("root <> most").alias("x"), mixed.alias("y")
     both = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n", TENTHS)
+    both &= (10 + TENTHS) * F.least("x.rest", "y.rest") >= TENTHS * (F.col("x.n") + F.col("y.n"))
     return x.join(y, both).select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
 
 

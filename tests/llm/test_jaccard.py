@@ -94,3 +94,12 @@ def test_large_bands_connect_what_all_pairs_connect(spark, monkeypatch, seed):
         for i, root in enumerate(plain_classes(texts)):
             want.setdefault(root, set()).add(i)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 5 < len(want) < 100
+
+
+def test_a_passage_too_short_to_link_makes_no_pairs(spark):
+    """Texts with 83 % of their shingles in common meet nowhere, those with 95 % all do."""
+    passage = [f"p{i}" for i in range(100)]
+    for own, pairs in ((20, 0), (5, 780)):
+        docs = [(i, " ".join([*passage, *(f"t{i}w{j}" for j in range(own))]), "en", "a", 1) for i in range(40)]
+        found = jaccard.sets(jaccard.texts(spark.createDataFrame(docs, DOCS), "text"))
+        assert jaccard._prefix_pairs(found.select("content", F.col("content").alias("root")), found).count() == pairs
