@@ -112,3 +112,20 @@ def test_sigmoid_of_margins_that_set_classes_apart_is_finite(spark):
     rows = [(float(m > 0), float(m)) for m in range(-10, 11) if m]
     a, b = models.platt_sigmoid(spark.createDataFrame(rows, "label double, margin double"))
     assert math.isfinite(a) and 0 < b < 10
+
+
+def test_a_pass_adds_up_the_same_sums_in_slices(spark, monkeypatch):
+    """Loss, gradient and curvature of several fits a fold, rows taken a few at a time, against plain sums."""
+    rng = np.random.default_rng(3)
+    x, y, fold = rng.normal(size=(300, 4)) + 2, rng.integers(0, 2, 300), rng.integers(0, 3, 300)
+    rows = [(x[i].tolist(), float(y[i]), int(fold[i])) for i in range(300)]
+    data = spark.createDataFrame(rows, "x array<double>, label double, fold int")
+    fits = [l1path.Fit(k, 0.1, x.mean(axis=0) + k / 9, np.full(4, 1.5), 1.0, rng.normal(size=5)) for k in (-1, 0, 2) for _ in range(3)]
+    monkeypatch.setattr(l1path, "PRODUCTS", 100)
+    l1path._pass(data, fits)
+    for f in fits:
+        xs = np.hstack([np.ones((300, 1)), (x - f.mean) / f.sd])[fold != f.fold]
+        own, eta = y[fold != f.fold], xs @ f.beta
+        mu = 1 / (1 + np.exp(-eta))
+        want = np.log1p(np.exp(eta)).sum() - own @ eta, xs.T @ (own - mu), xs.T @ (xs * (mu * (1 - mu))[:, None])
+        assert all(np.allclose(a, b, rtol=1e-10, atol=1e-10) for a, b in zip(f.sums, want))
