@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word shingles: 0.8 or more, verified exactly.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` minima (MinHash) of their five-word shingles: a pair at similarity s is
-found with probability 1 - (1 - s ** ROWS) ** BANDS, that is 0.9996 at 0.8. Every candidate pair is checked with the
+Candidates are connected by their SimHash fingerprints (``simhash.links``: at most 4 differing bits, majority bits of the same
+shingles), which find nearly equal texts; or, as these miss most pairs near 0.8, they share one of ``BANDS`` bands of
+``ROWS`` minima (MinHash) of their five-word shingles: a pair at similarity s is
+found by bands with probability 1 - (1 - s ** ROWS) ** BANDS, that is 0.9996 at 0.8. Every candidate pair is checked with the
 hashes of all its shingles; linked texts are connected to classes by the rounds of ``simhash.connected``.
 
-Equal texts are one point. Bands of more than ``BAND_ROWS`` points (a family, or texts that share a passage) are not paired, yet
-whatever all their pairs would connect is connected:
+Equal texts are one point. A class of fingerprints counts as one more band. Bands of more than ``BAND_ROWS`` points (a
+family, or texts that share a passage) are not paired, yet whatever all their pairs would connect is connected:
 
 * In ``ROUNDS`` rounds the members of each such band that are not in the class of the band's pivot are checked against it. The
   next round's pivot is of another class. A band whose members are all of one class is done.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import stored, utf8
-from panelwise.llm.simhash import connected, first_of_class
+from panelwise.llm.simhash import connected, first_of_class, majority
+from panelwise.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 SEED = 42
@@ -42,11 +45,16 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint
 PLACES = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The different XXH64 of all word shingles, of all words together if there are fewer than a shingle's."""
+def all_shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of all word shingles, repeats included; of all words together if there are fewer than a shingle's."""
     words = (text or b"").lower().split()
     n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The different ones of ``all_shingles``."""
+    return np.unique(all_shingles(text, shingle))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -65,15 +73,21 @@ def texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """(content, n, bands) of every row; n is the number of different shingles."""
+    """(content, n, fp, bands) of every row; n is the number of different shingles, fp the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t) for t in utf8(batch.column(1))]
-            arrays = [batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([bands(h) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["content", "n", "bands"])
+            n, marks, found = [], [], []
+            for text in utf8(batch.column(1)):
+                hashes = all_shingles(text)
+                different = np.unique(hashes)
+                n.append(len(different))
+                marks.append(majority(hashes))
+                found.append(bands(different))
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["content", "n", "fp", "bands"])
 
-    return rows.mapInArrow(run, "content long, n long, bands array<long>")
+    return rows.mapInArrow(run, "content long, n long, fp long, bands array<long>")
 
 
 def sets(rows: DataFrame) -> DataFrame:
@@ -155,9 +169,11 @@ def _large_links(cells: DataFrame, found: DataFrame, known: DataFrame, rounds: i
 
 
 def links(rows: DataFrame, band_rows: int = BAND_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): links between the contents of ``rows`` (content, text), enough to connect whatever the bands' pairs connect."""
-    points = stored(banded(rows).groupBy("content").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
-    cells = points.select("content", "n", F.posexplode("bands").alias("band", "cell"))
+    """(a, b): links between the contents of ``rows`` (content, text), enough to connect whatever the pairs of bands and fingerprint classes connect."""
+    points = stored(banded(rows).groupBy("content").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bands")]))
+    roots = connected(fingerprint_links(points.select("fp").distinct()))
+    marked = points.join(roots, points.fp == roots.node, "left").select("content", "n", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("cell"))
+    cells = points.select("content", "n", F.posexplode("bands").alias("band", "cell")).unionByName(marked)
     many = cells.groupBy("band", "cell").agg(F.count("*").alias("members")).where("members > 1")
     cells = stored(cells.join(many, ["band", "cell"]))
     pairs = stored(_pairs(cells.where(F.col("members") <= band_rows)))

@@ -55,12 +55,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     pairs = zip(starts[: len(words) - span].tolist(), ends[span:].tolist())
     n = len(words) - span
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(hashes), BLOCK):
         block = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

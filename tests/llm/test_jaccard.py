@@ -9,7 +9,7 @@ import pytest
 from fixtures import DOCS, awkward
 from pyspark.sql import functions as F
 
-from panelwise.llm import jaccard
+from panelwise.llm import jaccard, simhash
 
 
 def plain_set(text):
@@ -103,3 +103,17 @@ def test_a_passage_too_short_to_link_makes_no_pairs(spark):
         docs = [(i, " ".join([*passage, *(f"t{i}w{j}" for j in range(own))]), "en", "a", 1) for i in range(40)]
         found = jaccard.sets(jaccard.texts(spark.createDataFrame(docs, DOCS), "text"))
         assert jaccard._prefix_pairs(found.select("content", F.col("content").alias("root")), found).count() == pairs
+
+
+def test_fingerprints_find_a_pair_that_no_band_holds(spark):
+    """8 of 10 shingles in common, 4 differing bits, no common band; and equal fingerprints alone link nothing."""
+    common = "dwl byc ouv lhp jdz lms mag uqi xha jqg ysv waz"
+    a, b = f"{common} rqh", f"{common} kih"
+    x, y = (jaccard.shingles(t.encode()) for t in (a, b))
+    assert not (jaccard.bands(x) == jaccard.bands(y)).any()
+    differ = lambda a, b: bin((simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)) & (1 << 64) - 1).count("1")
+    often = " ".join(["one two three four five"] * 40)
+    apart = [f"{often} {' '.join(f'{k}{i}' for i in range(10))}" for k in "uv"]
+    assert differ(a, b) == 4 and differ(*apart) <= 4
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate([a, b, *apart])], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()) == [0, 2, 3]
