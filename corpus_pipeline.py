@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwise.llm import jaccard, mixture, packing, pii, quality_forest
-from panelwise.llm.common import stored
+from panelwise.llm.common import small_batches, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the fixed rules and the isolation forest keep."""
+    small_batches(spark)
     return quality_forest.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each class of near-duplicates: SimHash fingerprints and MinHash bands of five-word shingles, Jaccard similarity 0.8 or more."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights ask for: up to MAX_EPOCHS times, or not at all."""
+    small_batches(spark)
     return mixture.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(bin, slot, doc_id, piece, n_words, text) of every piece of every document."""
+    small_batches(spark)
     return packing.sequences(docs)
 
 

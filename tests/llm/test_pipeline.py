@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from fixtures import DOCS, awkward
 from test_jaccard import plain_classes
 
+from panelwise.llm.common import TEXTS
+
 
 def test_stages(spark, tmp_path):
     rng = random.Random(8)
@@ -33,3 +36,21 @@ def test_stages(spark, tmp_path):
     total = sum(len(r.text.split()) for r in mixed.collect())
     assert packed.agg({"n_words": "sum"}).first()[0] == total
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, packed.collect()))
+
+
+def test_stages_send_whole_texts_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    docs, rows = spark.createDataFrame([(1, "a b", "en", "s", 3)], DOCS), spark.range(0, 3000, 1, 1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        for before, after in ((10000, TEXTS), (100, 100)):
+            spark.conf.set(name, before)
+            corpus_pipeline.private(spark, docs, "")
+            assert rows.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] == after
+    finally:
+        spark.conf.set(name, old)
