@@ -178,3 +178,19 @@ def test_small_units_return_no_more_than_large_ones(spark):
     assert replicates.replicate_sums(made, ["imp"], 64, 1).count() == 5 * 3 * 64
     units = replicates.exact_units(df.selectExpr("imp", "p", "y AS n1", "1 - y AS n0"), ["imp"], 4096)
     assert replicates.unit_counts(units, ["imp"], 64, 1, 16, 4096).count() == 5 * 2
+
+
+def test_draws_of_few_scores_are_kept_for_the_slopes(spark, monkeypatch):
+    """Kept units need no seed any more, those of many scores do; metrics are the same either way."""
+    rng = random.Random(4)
+    table = spark.createDataFrame(rows(rng, 2400, [0.2, 0.4, 0.7]) + [(3, i, i % 2, rng.random()) for i in range(300)], SCORED)
+    units = replicates.counted(replicates.work(table, ["imp"], "row_id", 40, 5, "exact", 1200), ["imp"], 40, 5)
+    assert {(r.imp, r.kept is None) for r in units.collect()} == {(1, False), (2, False), (3, True)}
+    trial = spark.createDataFrame([(imp, r, 0.1, 0.9) for imp in (1, 2, 3) for r in (1, 2, 33, 40)], "imp int, replicate int, a double, b double")
+    sums = [sorted(map(tuple, replicates.slope_sums(units, ["imp"], seed)(trial).collect())) for seed in (5, 6)]
+    assert [a == b for a, b in zip(*sums)] == [True] * 8 + [False] * 4
+    made = []
+    for places in (replicates.KEPT, 10 ** 9):
+        monkeypatch.setattr(replicates, "KEPT", places)
+        made.append(sorted(map(tuple, validate.bootstrap_metrics(table, ["imp"], "row_id", 40, 5, "exact", 1200).collect())))
+    assert made[0] == [pytest.approx(r) for r in made[1]]
