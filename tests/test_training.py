@@ -196,3 +196,16 @@ def test_neighbours_take_text_and_refuse_null(spark):
     assert [r["neighbour_id"] for r in got] == [3, 4, 1, 2]
     with pytest.raises(ValueError, match="NULL"):
         neighbours.nearest_neighbours(df.unionByName(spark.createDataFrame([(5, None, "x")], schema)), "id", ["a"], ["c"], 1)
+
+
+def test_networks_of_all_folds_are_scored_in_one_pass(spark, design):
+    """The accuracies of scoring each network alone, in one aggregate of the table; an empty fold has none."""
+    folded = tuning.with_folds(design, "row_id", 3).cache()
+    nets = [network.Net(size, 0.1, fold) for size in (1, 2) for fold in (0, 1, 2, 7)]
+    scorers = network.fit_networks(folded, nets, 5)
+    spark.sparkContext.setJobGroup("scored", "scored")
+    got = network.fold_accuracy(folded, nets, scorers)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scored"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    want = [tuning.accuracy(s(folded.where(F.col("fold") == n.without_fold))).first() for n, s in zip(nets, scorers)]
+    assert [(a, n) for a, n in got] == [(pytest.approx(w["accuracy"]) if w["n"] else None, w["n"]) for w in want] and jobs < len(nets)
