@@ -194,3 +194,25 @@ def test_draws_of_few_scores_are_kept_for_the_slopes(spark, monkeypatch):
         monkeypatch.setattr(replicates, "KEPT", places)
         made.append(sorted(map(tuple, validate.bootstrap_metrics(table, ["imp"], "row_id", 40, 5, "exact", 1200).collect())))
     assert made[0] == [pytest.approx(r) for r in made[1]]
+
+
+def test_draws_are_numbered_once_for_all_replicates(monkeypatch):
+    """Numbers of a unit's draws are not made anew for each replicate; draws are those of the definition."""
+    made = []
+    monkeypatch.setattr(replicates, "_slots", lambda first, last, plain=replicates._slots: made.append(last - first) or plain(first, last))
+    for r in range(1, 101):
+        state = replicates._state(5, [1, r])
+        got = replicates._drawn(state, 2, 3, 4096, 1000, np.array([900 + r]))
+        want = Counter(math.floor(uniform(5, 1, r, 3, j) * 1000) for j in range(1, 901 + r)) if r % 25 == 0 else None
+        assert got.sum() == 900 + r and (want is None or {k: int(n) for k, n in enumerate(got) if n} == dict(want))
+    assert sum(made) <= 2 * replicates.UNIT
+    long = replicates._drawn(state, 2, 3, 10 ** 6, 1000, np.array([2 * replicates.UNIT + 5]))
+    assert long.sum() == 2 * replicates.UNIT + 5
+
+
+@pytest.mark.parametrize("n", [65_537, 899_999, 54_000_000, 10 ** 10 + 7])
+def test_units_of_a_power_of_two_need_no_division(n):
+    from panelwise.functions.hashing import mix_picks
+
+    bits = np.concatenate([np.random.default_rng(1).integers(0, 1 << 32, 200_000), [0, (1 << 32) - 1]]).astype(np.uint32)
+    assert (mix_picks(bits, n / replicates.UNIT) == mix_picks(bits, n) // replicates.UNIT).all()
