@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import stored, utf8
+from panelwise.llm.common import measured_broadcasts, stored, utf8
 from panelwise.llm.simhash import connected, first_of_class, majority
 from panelwise.llm.simhash import links as fingerprint_links
 
@@ -186,8 +186,9 @@ def links(rows: DataFrame, band_rows: int = BAND_ROWS, rounds: int = ROUNDS) ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_rows: int = BAND_ROWS) -> DataFrame:
     """The rows of ``docs``, one of each class, as ``simhash.keep_one`` chooses it."""
-    roots = stored(connected(links(texts(docs, text_col), band_rows)))
+    with measured_broadcasts(docs.sparkSession):
+        roots = stored(connected(links(texts(docs, text_col), band_rows)))
     text = F.col(text_col).cast("string")
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("content"))
-    ids = ids.join(roots, ids.content == roots.node, "left").select("id", "content", F.coalesce("root", "content").alias("root"))
+    ids = ids.join(roots.hint("merge"), ids.content == roots.node, "left").select("id", "content", F.coalesce("root", "content").alias("root"))
     return first_of_class(docs, ids, id_col, text_col)

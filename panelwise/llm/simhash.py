@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import stored, utf8
+from panelwise.llm.common import measured_broadcasts, stored, utf8
 
 SHINGLE = 4
 SEED = 42
@@ -165,12 +165,14 @@ def connected(edges: DataFrame) -> DataFrame:
 def members(docs: DataFrame, id_col: str, text_col: str, radius: int, bands: int, cell_rows: int) -> DataFrame:
     """(id, content, fp, root, component) of every row; root is the least fingerprint of the class."""
     marks = stored(fingerprints(docs, id_col, text_col))
-    points = stored(marks.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = connected(links(points.select("fp"), radius, bands, cell_rows))
-    points = points.join(roots, points.fp == roots.node, "left")
-    points = points.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    component = points.groupBy("root").agg(F.min("least_id").alias("component"))
-    return marks.join(points.join(component, "root").select("fp", "root", "component"), "fp")
+    with measured_broadcasts(docs.sparkSession):
+        points = stored(marks.groupBy("fp").agg(F.min("id").alias("least_id")))
+        roots = connected(links(points.select("fp"), radius, bands, cell_rows))
+        points = points.join(roots, points.fp == roots.node, "left")
+        points = stored(points.select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+        component = points.groupBy("root").agg(F.min("least_id").alias("component"))
+        points = stored(points.join(component, "root").select("fp", "root", "component"))
+    return marks.join(points.hint("merge"), "fp")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
@@ -202,7 +204,7 @@ def first_of_class(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
     best = ids.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("id", "content", "root")
     times = ids.groupBy("id", "content", "root").agg(F.count("*").alias("times"))
     same = [best[c].eqNullSafe(times[c]) for c in ("id", "content", "root")]
-    best = best.join(times, same).select(best.id, best.content, "times")
+    best = best.join(times.hint("merge"), same).select(best.id, best.content, "times")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("content"),
                        F.struct("*").alias("row"))
     rows = rows.join(best, rows.id.eqNullSafe(best.id) & (rows.content == best.content)).select(

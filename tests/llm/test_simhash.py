@@ -9,7 +9,7 @@ import xxhash
 from fixtures import DOCS, awkward
 from pyspark.sql import functions as F
 
-from panelwise.llm import simhash
+from panelwise.llm import jaccard, simhash
 
 
 def plain_fingerprint(text):
@@ -107,3 +107,23 @@ def test_embedding_is_a_lower_bound(spark):
     for r in df.collect():
         counts = lambda x: [(x >> 2 * s & 3).bit_count() for s in range(32)]
         assert r.d == sum(abs(x - y) for x, y in zip(counts(r.a), counts(r.b))) <= (r.a ^ r.b).bit_count()
+
+
+def test_no_table_is_broadcast_by_a_guess_at_its_size(spark, monkeypatch):
+    """Rows that an explode makes are not in the guess: each stage's plan, before it is run, has no broadcast."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    plans = []
+
+    def stored(df, *args, kept=simhash.stored):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, *args)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    monkeypatch.setattr(jaccard, "stored", stored)
+    rows = [(i, f"one two three four five six w{i % 40} seven eight", "en", "a", 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for found in (simhash.classes(docs), jaccard.keep_one(docs)):
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert sum("Join" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+    assert before == {k: spark.conf.get(k, None) for k in before}
