@@ -209,3 +209,33 @@ def test_networks_of_all_folds_are_scored_in_one_pass(spark, design):
     spark.sparkContext.setJobGroup("rest", "rest")
     want = [tuning.accuracy(s(folded.where(F.col("fold") == n.without_fold))).first() for n, s in zip(nets, scorers)]
     assert [(a, n) for a, n in got] == [(pytest.approx(w["accuracy"]) if w["n"] else None, w["n"]) for w in want] and jobs < len(nets)
+
+
+def test_a_network_knows_nothing_of_the_fold_it_is_judged_on(spark, design):
+    """Whatever the kept-out fold holds, the network trained without it is the same, its scales included."""
+    folded = tuning.with_folds(design, "row_id", 3).cache()
+    odd = folded.rdd.map(lambda r: (r.row_id, r.label, Vectors.dense(r.features.toArray() * (1000 if r.fold == 1 else 1)), r.fold)).toDF(folded.schema)
+    nets = [network.Net(2, 0.1, 1), network.Net(2, 0.1, 0)]
+    kept, other = (network.fit_networks(t, nets, 10) for t in (folded, odd))
+    assert np.allclose(kept[0].weights, other[0].weights, atol=1e-6) and not np.allclose(kept[1].weights, other[1].weights, atol=1e-3)
+    x = folded.where("fold = 0").limit(5).select("features")
+    assert np.allclose([r.p for r in kept[0](x).collect()], [r.p for r in other[0](x).collect()], atol=1e-6)
+
+
+def test_networks_are_trained_until_the_loss_no_longer_falls(design):
+    """The steps end at a place of no slope; one that has ended waits for no other."""
+    rows = design.select("features", "label").collect()
+    x = np.array([r.features.toArray() for r in rows])
+    x1, y = np.hstack([(x - x.mean(0)) / x.std(0, ddof=1), np.ones((len(x), 1))]), np.array([r.label for r in rows])
+    for size, decay in ((1, 1.0), (2, 5.0)):
+        w = network.fit_network(design, {"size": size, "decay": decay}).weights
+        assert np.abs(network._gradient(w, x1, y, size) + 2 * decay * w).max() < 0.05
+
+
+def test_a_search_for_steps_shortens_them_and_starts_again():
+    """On a steep curved valley, with the end that no longer falls."""
+    way = network.Descent(np.array([-1.2, 1.0]), 1, 200)
+    while way.at is not None:
+        a, b = way.at
+        way.told(1 + (1 - a) ** 2 + 100 * (b - a * a) ** 2, np.array([-2 * (1 - a) - 400 * a * (b - a * a), 200 * (b - a * a)]))
+    assert np.allclose(way.best, [1, 1], atol=1e-3) and 0 < way.left < 190
