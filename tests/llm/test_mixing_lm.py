@@ -75,6 +75,23 @@ def test_scores_are_those_of_the_plain_model_and_better_than_unigrams(spark):
     assert bits(long) < 2.2 < 6 < bits("QZX#" * 300)
 
 
+def test_weights_adapt_after_each_byte_of_short_texts_too(spark, monkeypatch):
+    """Texts of a few bytes up: neither fixed weights nor weights that wait for a chunk; texts that share steps do not share weights."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc ") for _ in range(n)) for n in (0, 1, 2, 9, 63, 64, 65, 180, 2300)]
+    model = lm.fit(spark.createDataFrame([(t,) for t in texts * 3], "text string"))
+    table = lm.Table(np.unique(np.concatenate([lm.packed([t.encode()])[0] for t in texts])), model.prepare(), model.weights)
+    got = lm.log10_scores(*lm.places([t.encode() for t in texts], table), table)
+    want = {}
+    for chunk in (1, 2048, 10**9):
+        with monkeypatch.context() as m:
+            m.setattr(lm, "CHUNK", chunk)
+            want[chunk] = [plain_score(model, t) for t in texts]
+    assert np.allclose(got, want[1], rtol=1e-4)
+    for other in (want[2048], want[10**9]):
+        assert not any(math.isclose(a, b, rel_tol=1e-3) for a, b in zip(got[4:], other[4:]))
+
+
 def test_no_two_contexts_share_counts(spark, monkeypatch):
     """Far more contexts than any small table of slots holds apart, in several blocks, texts over a chunk too, against counts by whole context."""
     monkeypatch.setattr(lm, "PIECE", 3000)
