@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ from panelwise.functions.hashing import MASK_32, POISSON_1_CDF, TWO_32, mix_bits
 
 BINS = 64
 BLOCK = 65_536
-#: Blocks that a task gathers at most (a million rows, whatever the table's size).
-WHOLE_BLOCKS = 16
+#: Blocks and bytes that a task gathers at most (8 million rows, whatever the table's size), the bytes of a row beside its bins, and rows
+#: whose weights are added up at a time.
+WHOLE_BLOCKS = 128
+WHOLE_BYTES = 1 << 28
+ROW_BYTES = 12
+AT_ONCE = 1 << 20
 #: The least 32-bit numbers that stand for 1, 2, ... draws.
 POISSON_STEPS = [math.ceil(c * TWO_32) for c in POISSON_1_CDF]
 #: Numeric targets become whole numbers from 0 to this.
@@ -47,7 +52,13 @@ def bag(seed: int, tree: int, positions: np.ndarray) -> np.ndarray:
     """How often each row is drawn for a tree."""
     at = positions.astype(np.uint64)
     bits = mix_bits(mix_step(mix_seed(seed), tree, 0), ((at ^ (at >> np.uint64(32))) & np.uint64(MASK_32)).astype(np.uint32), 1)
-    return sum((bits >= np.uint32(step)).astype(np.int64) for step in POISSON_STEPS if step < TWO_32)
+    out, left = (bits >= np.uint32(POISSON_STEPS[0])).astype(np.int64), np.flatnonzero(bits >= np.uint32(POISSON_STEPS[1]))
+    for step in POISSON_STEPS[1:]:
+        if step >= TWO_32 or not len(left):
+            break
+        left = left[bits[left] >= np.uint32(step)]
+        out[left] += 1
+    return out
 
 
 def _offered(seed: int, tree: int, nodes: np.ndarray, features: int, tried: int) -> np.ndarray:
@@ -131,37 +142,104 @@ class Growing:
 
 
 def descend(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    node, rows = np.zeros(len(codes), int), np.arange(len(codes))
+    """The node of each row after ``depth`` levels; who has reached a leaf stays there."""
+    ended = feature < 0
+    feature, cut, left = np.where(ended, 0, feature), np.where(ended, 255, cut).astype(np.uint8), np.where(ended, np.arange(len(left)), left)
+    node, flat, start = np.zeros(len(codes), int), codes.reshape(-1), np.arange(len(codes)) * codes.shape[1]
     for _ in range(depth):
-        at = node[rows]
-        f = feature[at]
-        inner = f >= 0
-        if not inner.all():
-            rows, at, f = rows[inner], at[inner], f[inner]
-        if not len(rows):
+        if ended.take(node).all():
             break
-        node[rows] = left[at] + (codes[rows, f] > cut[at])
+        node = left.take(node) + (flat.take(start + feature.take(node)) > cut.take(node))
     return node
 
 
-def whole_tree(tree: Growing, at: np.ndarray, codes: np.ndarray, target: np.ndarray, known: np.ndarray, bins: int) -> None:
-    """Grow all levels; rows stay with their nodes from level to level."""
-    weight = bag(tree.seed, tree.tree, at) * known
-    use = np.flatnonzero(weight)
-    codes, target, weight, slot = codes[use], target[use], weight[use], np.zeros(len(use), int)
+@dataclass
+class Whole:
+    """The known rows of a table: those of the same bins (and class, if targets are classes) share an entry."""
+
+    at: np.ndarray
+    #: The entry of each row; None: its own.
+    entry: np.ndarray | None
+    codes: np.ndarray
+    #: The class of each entry of ``classes`` ones, or targets by row.
+    own: np.ndarray | None
+    classes: int
+    target: np.ndarray | None
+
+
+def packed(rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(positions, codes, targets, classes) of a block's known rows, in as few bytes as they need; targets are classes if each row has one."""
+    at, codes, target = (part[rows[3]] for part in rows[:3])
+    k, small = target.shape[1], 1 << 31
+    if 1 < k <= 256 and ((target == 0) | (target == 1)).all() and (target.sum(axis=1) == 1).all():
+        target, classes = target.argmax(axis=1).astype(np.uint8), k
+    else:
+        target, classes = target if (np.abs(target) >= small).any() else target.astype(np.int32), 0
+    return at if (at >= 2 * small).any() or (at < 0).any() else at.astype(np.uint32), codes, target, classes
+
+
+def gathered(blocks: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> Whole:
+    """All packed blocks together."""
+    classes = blocks[0][3] if all(b[3] for b in blocks) else 0
+    at, codes = (np.concatenate([b[i] for b in blocks]) for i in range(2))
+    target = np.concatenate([b[2] if classes or not b[3] else (b[2][:, None] == np.arange(b[3])).astype(np.int32) for b in blocks])
+    columns = [*codes.T, target] if classes else [*codes.T]
+    sizes = [int(c.max()) + 1 if len(c) else 1 for c in columns]
+    entry, own = None, target if classes else None
+    if math.prod(sizes) < 1 << 62:
+        key = np.zeros(len(at), np.int64)
+        for c, size in zip(columns, sizes):
+            key *= size
+            key += c
+        entry, different = pd.factorize(key)
+        found = []
+        for size in reversed(sizes):
+            different, digit = np.divmod(different, size)
+            found.append(digit.astype(np.uint8))
+        found.reverse()
+        entry, codes, own = entry.astype(np.int32), np.column_stack(found[: codes.shape[1]]), found[-1] if classes else None
+    return Whole(at, entry, codes, own, classes, None if classes else target)
+
+
+def whole_tree(tree: Growing, rows: Whole, bins: int) -> None:
+    """Grow all levels; entries stay with their nodes from level to level."""
+    n, width, k = len(rows.codes), rows.codes.shape[1], rows.classes
+    sums = np.zeros((1 if k else 1 + rows.target.shape[1], n))
+    for start in range(0, len(rows.at), AT_ONCE):
+        part = slice(start, start + AT_ONCE)
+        weight = bag(tree.seed, tree.tree, rows.at[part]).astype(float)
+        values = [weight, *(weight * rows.target[part, c] for c in range(len(sums) - 1))]
+        for total, v in zip(sums, values):  # whole numbers below 2 ** 53
+            if rows.entry is None:
+                total[part] = v
+            else:
+                total += np.bincount(rows.entry[part], v, n)
+    use = np.flatnonzero(sums[0])
+    codes, values, own = rows.codes[use], [v[use] for v in sums], rows.own[use] if k else None
+    slot = np.zeros(len(use), int)
+
+    def added(cell: np.ndarray, cells: int) -> np.ndarray:
+        if not k:
+            return np.column_stack([np.bincount(cell, v, cells) for v in values]).astype(np.int64)
+        found = np.bincount(cell * k + own, values[0], cells * k).reshape(cells, k)
+        return np.column_stack([found.sum(axis=1), found]).astype(np.int64)
+
     while len(tree.open):
+        slots = len(tree.open)
         if tree.level == tree.depth:
-            none = np.full(len(tree.open), -1)
-            tree.split(none, none, level_totals(target, weight, slot, len(tree.open)))
+            none = np.full(slots, -1)
+            tree.split(none, none, added(slot, slots))
             break
-        offered = tree.offered()
-        column, cut, total = best_splits(level_sums(codes, target, weight, slot, offered, bins), offered, tree.smallest)
+        flat, start, offered = codes.reshape(-1), np.arange(len(slot)) * width, tree.offered()
+        tables = [added(slot * bins + flat.take(start + column.take(slot)), slots * bins).reshape(slots, bins, -1) for column in offered.T.copy()]
+        column, cut, total = best_splits(np.stack(tables, axis=1), offered, tree.smallest)
         tree.split(column, cut, total)
         inner = column >= 0
-        stays = inner[slot]
+        stays = inner.take(slot)
         if not stays.all():
-            codes, target, weight, slot = codes[stays], target[stays], weight[stays], slot[stays]
-        slot = 2 * (np.cumsum(inner) - 1)[slot] + (codes[np.arange(len(slot)), column[slot]] > cut[slot])
+            codes, slot, values, own = codes[stays], slot[stays], [v[stays] for v in values], own[stays] if k else None
+            flat, start = codes.reshape(-1), np.arange(len(slot)) * width
+        slot = 2 * (np.cumsum(inner) - 1).take(slot) + (flat.take(start + column.take(slot)) > cut.take(slot))
 
 
 def _row(batch: pa.RecordBatch, features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -181,10 +259,25 @@ def grow(
     n_blocks = blocks.count() if n_blocks is None else n_blocks
     cores = blocks.sparkSession.sparkContext.defaultParallelism
     # Few blocks are dealt to tasks once for each group of trees; many stay where they are and see all trees.
-    whole_ = n_blocks <= WHOLE_BLOCKS
+    whole_ = n_blocks <= WHOLE_BLOCKS and n_blocks * BLOCK * (features + ROW_BYTES) <= WHOLE_BYTES
     parallel = -(-trees // (2 * cores)) if whole_ else trees if n_blocks >= cores else -(-trees * n_blocks // (2 * cores))
     groups = [list(range(i, min(i + parallel, trees))) for i in range(0, trees, parallel)]
     made = [Growing(seed, t, features, tried, depth, smallest) for t in range(trees)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _row(batch, features):
+                *parts, classes = packed(rows)
+                columns = [*[pa.array([x.tobytes()], pa.binary()) for x in parts], *[pa.array([x], pa.string()) for x in (parts[0].dtype.str, parts[2].dtype.str)], pa.array([classes], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["at", "codes", "target", "at_kind", "kind", "classes"])
+
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        for at, codes, target, at_kind, kind, classes in zip(*(batch.column(c).to_pylist() for c in ("at", "codes", "target", "at_kind", "kind", "classes"))):
+            at, codes, target = np.frombuffer(at, at_kind), np.frombuffer(codes, np.uint8).reshape(-1, features), np.frombuffer(target, kind)
+            yield at, codes, target if classes else target.reshape(len(at), -1) if len(at) else np.empty((0, 1), kind), classes
+
+    if whole_:
+        blocks = blocks.mapInArrow(pack, "at binary, codes binary, target binary, at_kind string, kind string, classes int")
     dealt = blocks.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(groups))])).alias("group"))
     if len(groups) > 1:
         dealt = dealt.repartition(2 * len(groups), "group")
@@ -202,14 +295,17 @@ def grow(
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, held = [], []
             for batch in batches:
-                for rows, group in zip(_row(batch, features), batch.column("group").to_pylist()):
+                for i, group in enumerate(batch.column("group").to_pylist()):
                     own += [group] if group not in own else []
                     if group == own[0]:  # all groups have the same blocks
-                        held.append(rows)
-            rows = [np.concatenate(part) for part in zip(*held)]
+                        held += unpacked(batch.slice(i, 1))
+            if not held:
+                return
+            rows = gathered(held)
+            held.clear()
             for t in (t for group in own for t in groups[group]):
                 tree = Growing(seed, t, features, tried, depth, smallest)
-                whole_tree(tree, *rows, bins)
+                whole_tree(tree, rows, bins)
                 f, c, left = (pa.array([x], pa.list_(pa.int32())) for x in tree.arrays())
                 value = pa.array([np.concatenate(tree.value)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), f, c, left, value], ["tree", "f", "c", "l", "v"])
