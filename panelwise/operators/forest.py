@@ -252,6 +252,7 @@ def _row(batch: pa.RecordBatch, features: int) -> Iterator[tuple[np.ndarray, np.
 
 def grow(
     blocks: DataFrame, features: int, trees: int, seed: int, depth: int, smallest: int, tried: int, bins: int = BINS, n_blocks: int | None = None,
+    n_rows: int | None = None,
 ) -> Trees:
     """A forest on ``blocks``: (at, codes, target, known), for each block the rows' positions, and as bytes their bins
     (a byte each, row by row), target vectors (64-bit whole numbers) and whether they are known; other rows are not used.
@@ -259,7 +260,7 @@ def grow(
     n_blocks = blocks.count() if n_blocks is None else n_blocks
     cores = blocks.sparkSession.sparkContext.defaultParallelism
     # Few blocks are dealt to tasks once for each group of trees; many stay where they are and see all trees.
-    whole_ = n_blocks <= WHOLE_BLOCKS and n_blocks * BLOCK * (features + ROW_BYTES) <= WHOLE_BYTES
+    whole_ = n_blocks <= WHOLE_BLOCKS and (n_rows or n_blocks * BLOCK) * (features + ROW_BYTES) <= WHOLE_BYTES
     parallel = -(-trees // (2 * cores)) if whole_ else trees if n_blocks >= cores else -(-trees * n_blocks // (2 * cores))
     groups = [list(range(i, min(i + parallel, trees))) for i in range(0, trees, parallel)]
     made = [Growing(seed, t, features, tried, depth, smallest) for t in range(trees)]

@@ -144,3 +144,35 @@ def test_whole_trees_equal_those_of_level_rounds_without_their_jobs(spark, monke
     for name in ("feature", "cut", "left", "value"):
         assert all(np.array_equal(a, b) for a, b in zip(getattr(made[0], name), getattr(made[1], name)))
     assert made[0].jobs < 6 < made[1].jobs
+
+
+def test_an_imputer_of_many_runs_gives_what_single_runs_give_and_reads_its_table_once(spark, gaps, tmp_path):
+    options = {"max_iter": 2, "trees": 6}
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    one = impute.forest_imputer(gaps.mapInArrow(counted, gaps.schema), "id", ["a", "b", "e"], ["c", "d"], **options)
+    many = impute.multiple_impute(one, runs=3)
+    assert reads.value == 240
+    for imp, seed in ((1, 100), (3, 300)):
+        alone = impute.forest_impute(gaps, "id", ["a", "b", "e"], ["c", "d"], seed=seed, **options)
+        assert sorted(map(tuple, many.where(f"imp = {imp}").drop("imp").collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_rows_of_the_same_bins_share_an_entry_and_give_the_same_tree():
+    rng = np.random.default_rng(4)
+    codes, known, at = rng.integers(0, 3, (4000, 4)).astype(np.uint8), rng.random(4000) < 0.9, np.arange(4000)
+    for target, smallest in ((rng.integers(0, 1000, (4000, 1)), 5), ((rng.integers(0, 3, 4000)[:, None] == np.arange(3)).astype(np.int64), 1)):
+        rows = forest.gathered([forest.packed((at[i:i + 900], codes[i:i + 900], target[i:i + 900], known[i:i + 900])) for i in range(0, 4000, 900)])
+        assert len(rows.codes) <= 81 * (rows.classes or 1) and rows.at.dtype == np.uint32
+        made = []
+        for table in (rows, forest.Whole(at[known], None, codes[known], None, 0, target[known])):
+            tree = forest.Growing(1, 0, 4, 2, 5, smallest)
+            forest.whole_tree(tree, table, 64)
+            made.append(tree)
+        assert all(np.array_equal(x, y) for x, y in zip(made[0].arrays(), made[1].arrays())) and len(made[0].left) > 9
+        assert np.array_equal(np.array(made[0].value), np.array(made[1].value))
