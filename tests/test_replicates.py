@@ -216,3 +216,13 @@ def test_units_of_a_power_of_two_need_no_division(n):
 
     bits = np.concatenate([np.random.default_rng(1).integers(0, 1 << 32, 200_000), [0, (1 << 32) - 1]]).astype(np.uint32)
     assert (mix_picks(bits, n / replicates.UNIT) == mix_picks(bits, n) // replicates.UNIT).all()
+
+
+def test_rows_carry_few_draws_however_many_units_a_pack_has(spark, monkeypatch):
+    """Of a long run in small units a row brings the draws of as many chunks as stay below the bound, not of all replicates."""
+    monkeypatch.setattr(replicates, "CARRIED", 1 << 16)
+    monkeypatch.setattr(replicates, "_tasks", lambda df: 1)
+    scored = spark.range(6000).selectExpr("1 AS imp", "id AS row_id", "id / 6000 AS p", "cast(id % 3 = 0 AS int) AS y")
+    made = replicates.work(scored, ["imp"], "row_id", 320, 3, "exact", 8, None, 1024)
+    sizes = made.selectExpr("aggregate(draws, 0, (n, d) -> n + length(d.part)) AS n", "chunks").collect()
+    assert {r.chunks for r in sizes} == {4} and max(r.n for r in sizes) <= 1 << 16 and len(sizes) == 6 * 3
